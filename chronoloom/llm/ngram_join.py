@@ -277,11 +277,67 @@ def led(index: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, d long, n long, pos long, lead long")
 
 
-def across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one entry and of different components that may be similar."""
+#: Groups up to this size are compared pair by pair, larger ones by matrix rows.
+SMALL_GROUP = 16
+
+
+def _pairs(d: list[int], n: list[int], pos: list[int], c: list[int], own: list[int] | None, bits: list[bytes], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Index pairs of one group, sorted by size, that may be similar."""
+    size = np.array(n)
+    ends = np.searchsorted(size, size * den // num, side="right").tolist()
+    if len(d) <= SMALL_GROUP:
+        for i in range(len(d)):
+            for j in range(i + 1, ends[i]):
+                if c[i] == c[j] or d[i] == d[j] or own is not None and own[i] == own[j]:
+                    continue
+                need = -(-num * (n[i] + n[j]) // (num + den))
+                if pos[j] >= 0 and min(n[i] - pos[i], n[j] - pos[j]) < need:
+                    continue
+                if len(bits[i]) == len(bits[j]):
+                    apart = (int.from_bytes(bits[i]) ^ int.from_bytes(bits[j])).bit_count()
+                    if (n[i] + n[j] - apart) // 2 >= need:
+                        yield i, j
+                elif overlap_bound(bits[i], n[i], bits[j], n[j]) >= need:
+                    yield i, j
+        return
+    comp, place, side = np.array(c), np.array(pos), np.array(own) if own is not None else None
+    width = np.array([len(x) for x in bits])
+    rows, full, half = np.zeros(len(d), dtype=np.int64), {}, {}
+    for w in set(width.tolist()):
+        at = np.flatnonzero(width == w)
+        rows[at] = np.arange(len(at))
+        full[w] = np.frombuffer(b"".join(bits[k] for k in at), dtype=np.uint8).reshape(-1, w)
+        half[w] = full[w][:, : w // 2] ^ full[w][:, w // 2 :]
+    for i in range(len(d)):
+        j = np.arange(i + 1, ends[i])
+        need = -(-num * (size[i] + size[j]) // (num + den))
+        ok = (comp[j] != comp[i]) & ((place[j] < 0) | (np.minimum(size[i] - place[i], size[j] - place[j]) >= need))
+        if side is not None:
+            ok &= side[j] != side[i]
+        j, need = j[ok], need[ok]
+        w = int(width[i])
+        mine = full[w][rows[i]]
+        for other in set(width[j].tolist()):
+            sel = np.flatnonzero(width[j] == other)
+            if other in (w, 2 * w):
+                theirs = (full[w] if other == w else half[other])[rows[j[sel]]]
+                bound = (size[i] + size[j[sel]] - np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)) // 2
+            else:
+                bound = np.array([overlap_bound(bits[i], n[i], bits[k], n[k]) for k in j[sel]])
+            for k in j[sel][bound >= need[sel]].tolist():
+                yield i, k
+
+
+def across(rows: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one entry and of different components that may be similar.
+
+    The bitmaps come along, so that a pair leaves the task only if length,
+    position and the bitmap's bound allow it to be similar.
+    """
     per_key = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m"))
     open_keys = per_key.where("c0 <> c1").select("key", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    live = rows.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    live = rows.join(open_keys, "key").join(info.where("n > 0").select("d", "n", "bits"), ["d", "n"])
+    live = live.withColumn("own", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
     live = live.withColumn(
         "pair",
         F.explode(
@@ -290,27 +346,16 @@ def across(rows: DataFrame, num: int, den: int) -> DataFrame:
                 lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")),
             )
         ),
-    ).select("key", F.col("pair.x").alias("px"), F.col("pair.y").alias("py"), "own", "d", "n", "pos", "c")
+    ).select("key", F.col("pair.x").alias("px"), F.col("pair.y").alias("py"), "own", "d", "n", "pos", "c", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, edge in _groups(batches, ("key", "px", "py")):
             found: set[tuple[int, int]] = set()
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                d, n, c, pos, own = (cols[x][lo:hi] for x in ("d", "n", "c", "pos", "own"))
-                ends = np.searchsorted(n, n * den // num, side="right")
+                d, n, c, pos, own, bits = (cols[x][lo:hi].tolist() for x in ("d", "n", "c", "pos", "own", "bits"))
                 cross = cols["px"][lo] != cols["py"][lo]
-                for i in range(hi - lo - 1):
-                    j = slice(i + 1, int(ends[i]))
-                    need = -(-num * (n[i] + n[j]) // (num + den))
-                    # both positions known: it may be the first common token, with all overlap behind it
-                    ok = (c[j] != c[i]) & ((pos[j] < 0) | (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need))
-                    if cross:
-                        ok &= own[j] != own[i]
-                    for o in d[j][ok].tolist():
-                        found.add((min(o, int(d[i])), max(o, int(d[i]))))
-                if len(found) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-                    found = set()
+                for i, j in _pairs(d, n, pos, c, own if cross else None, bits, num, den):
+                    found.add((min(d[i], d[j]), max(d[i], d[j])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
@@ -391,7 +436,7 @@ def jaccard_components(
     parts = durable(components(edges), "parts")
     rows = index.select("key", "d", "n", "pos").join(parts.withColumnRenamed("node", "d"), "d", "left")
     rows = durable(rows.select("key", "d", "n", "pos", F.coalesce("component", "d").alias("c")), "open")
-    more = across(rows, num, den).join(tested, ["a", "b"], "left_anti")
+    more = across(rows, info, num, den).join(tested, ["a", "b"], "left_anti")
     more = verified(durable(more, "across"), info, src, k, num, den)
     if not more.isEmpty():
         parts = components(edges.unionByName(more))
