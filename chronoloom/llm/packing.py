@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ WINDOW, END_ID = 2048, 1
 #: Ranks are counted within this many salts per length (a power of two).
 SALTS = 1 << 10
 #: Entries of a worker's word cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 #: White space other than a blank or a line end.
@@ -92,6 +93,12 @@ class WordTokenizer:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer and word cache per Python worker, kept from task to task."""
+    return WordTokenizer(path)
+
+
 _PIECE = "d long, start long, length long, crc long, total long"
 
 
@@ -101,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int, id
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = worker_tokenizer(tokenizer_path)
         for b in batches:
             ids, out = b.column("d").to_pylist(), [[], [], [], [], []]
             texts = [t or "" for t in b.column("t").to_pylist()]
