@@ -1,8 +1,11 @@
 """Embedding near-dedup by a forest of random-projection trees.
 
 Trees are grown on a bounded sample: each node projects its vectors on the
-difference of two of them (or, failing that, a random direction), splits at the
-median, and lets vectors within ``SPILL`` of the threshold into both sides.
+difference of two of them (or, failing that, a random direction), splits them,
+and lets vectors near the cut into both sides: within ``SPILL``, or farther, so
+that at most ``LOSS`` of the linked pairs known from the sample are parted.  A
+node that can't be split so, such as a dense group of different near copies, is
+left whole, whatever its size.
 Every vector of the table then falls through all trees to its leaves.  Vectors
 are compared within leaves and labels only, in double precision, and a pair is
 linked at cosine >= ``threshold``.
@@ -32,14 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import components, durable, roots, unit_hash
+from chronoloom.llm.shared import components, durable, unit_hash
 
 THRESHOLD = 0.93
 #: Vectors (about) on which the trees are grown; recall is measured in the tests.
 SAMPLE_ROWS = 20_000
 TREES, LEAF_ROWS, SPILL, SEED = 8, 256, 0.12, 5
+#: The share of a node's known linked pairs that its split may part; links known
+#: per vector of the sample; multiplications that finding them may take.
+LOSS, KNOWN_LINKS, KNOWN_COST = 0.05, 8, 4e10
+#: Where a node may be cut, as shares of its vectors.
+CUTS = (0.5, 0.35, 0.65, 0.2, 0.8)
 #: Vectors of one block of a leaf.
-BLOCK = 1024
+BLOCK = 4096
 
 
 @dataclass
@@ -52,32 +60,67 @@ class Tree:
     high: np.ndarray
 
 
-def grow(x: np.ndarray, leaf_rows: int, seed: int) -> Tree:
+def known_links(x: np.ndarray, label: np.ndarray, threshold: float) -> np.ndarray:
+    """(2, m) linked pairs of the sample: some of each vector's, of as many vectors as KNOWN_COST allows."""
+    rng, y = np.random.default_rng(SEED), x.astype(np.float32)
+    probes = rng.permutation(len(x))[: max(1000, int(KNOWN_COST / max(x.size, 1)))]
+    out = [np.zeros((2, 0), dtype=np.int64)]
+    for at in range(0, len(probes), 256):
+        some = probes[at : at + 256]
+        near = (y[some] @ y.T >= threshold) & (label[some][:, None] == label)
+        near[np.arange(len(some)), some] = False
+        for r in np.flatnonzero(near.any(axis=1)):
+            of = np.flatnonzero(near[r])
+            of = of if len(of) <= KNOWN_LINKS else rng.choice(of, KNOWN_LINKS)
+            out.append(np.stack([np.full(len(of), some[r]), of]))
+    return np.concatenate(out, axis=1)
+
+
+def grow(x: np.ndarray, leaf_rows: int, seed: int, links: np.ndarray | None = None) -> Tree:
     rng = np.random.default_rng(seed)
+    links = np.zeros((2, 0), dtype=np.int64) if links is None else links
     dirs, cuts, low, high, leaves = [], [], [], [], 0
+    place = np.zeros(len(x))
+
+    def split(rows: np.ndarray, inner: np.ndarray) -> tuple | None:
+        """(work, direction, cut, spill): the cheapest that keeps the known links together."""
+        best = None
+        for _ in range(4):
+            a, b = rng.choice(rows, 2, replace=False)
+            d = x[a] - x[b]
+            if np.linalg.norm(d) < 0.3:
+                d = rng.normal(size=x.shape[1])
+            d = d / np.linalg.norm(d)
+            p = place[rows] = x[rows] @ d
+            ends = np.sort(place[inner], axis=0)
+            least = SPILL * float(p.std())
+            for cut in np.quantile(p, CUTS).tolist():
+                spill = least
+                if inner.shape[1]:  # what parts no more than LOSS of the links
+                    spill = max(least, 1.001 * float(np.quantile(np.minimum(ends[1] - cut, cut - ends[0]), 1 - LOSS)))
+                left, right = np.mean(p < cut + spill), np.mean(p >= cut - spill)
+                work = left**2 + right**2
+                if max(left, right) <= 0.9 and left + right <= 1.25 and work <= 0.9 and (best is None or work < best[0]):
+                    best = work, d, cut, spill
+            if best is not None and best[0] <= 0.75:
+                break
+        return best
 
-    def node(rows: np.ndarray) -> int:
+    def node(rows: np.ndarray, inner: np.ndarray) -> int:
         nonlocal leaves
-        if len(rows) > leaf_rows:
-            for _ in range(4):
-                a, b = rng.choice(rows, 2, replace=False)
-                d = x[a] - x[b]
-                if np.linalg.norm(d) < 0.3:
-                    d = rng.normal(size=x.shape[1])
-                d = d / np.linalg.norm(d)
-                p = x[rows] @ d
-                cut = float(np.median(p))
-                left, right = rows[p < cut + SPILL * p.std()], rows[p > cut - SPILL * p.std()]
-                if max(len(left), len(right)) <= 0.9 * len(rows):
-                    k = len(dirs)
-                    dirs.append(d), cuts.append((cut, SPILL * float(p.std()))), low.append(0), high.append(0)
-                    low[k] = node(left)
-                    high[k] = node(right)
-                    return k
+        best = split(rows, inner) if len(rows) > leaf_rows else None
+        if best is not None:
+            _, d, cut, spill = best
+            k = len(dirs)
+            dirs.append(d), cuts.append((cut, spill)), low.append(0), high.append(0)
+            p, q = x[rows] @ d, x[inner] @ d
+            low[k] = node(rows[p < cut + spill], inner[:, (q < cut + spill).all(axis=0)])
+            high[k] = node(rows[p >= cut - spill], inner[:, (q >= cut - spill).all(axis=0)])
+            return k
         leaves += 1
         return -leaves
 
-    root = node(np.arange(len(x)))
+    root = node(np.arange(len(x)), links)
     if root < 0:  # one leaf
         return Tree(np.zeros((0, x.shape[1])), np.zeros((0, 2)), np.zeros(0, int), np.zeros(0, int))
     return Tree(np.array(dirs), np.array(cuts), np.array(low), np.array(high))
@@ -136,12 +179,13 @@ def link_embeddings(
         one = classes.where(F.col("dim") == dim)
         count = one.count()
         rate = min(1.0, SAMPLE_ROWS / max(count, 1))
-        sample = one.where(unit_hash(F.lit(SEED), F.col("c")) < rate).select("v", "c").orderBy("c").limit(2 * SAMPLE_ROWS).toArrow()
+        sample = one.where(unit_hash(F.lit(SEED), F.col("c")) < rate).select("v", "c", "l").orderBy("c").limit(2 * SAMPLE_ROWS).toArrow()
         x = _matrix(sample.column("v").combine_chunks(), dim)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         # leaves hold LEAF_ROWS of the whole table, if the sample can tell so much
         leaf = max(8, int(LEAF_ROWS * len(x) / max(count, 1)))
-        trees = spark.sparkContext.broadcast([grow(x, leaf, SEED + t) for t in range(TREES)])  # bounded by the sample
+        known = known_links(x, np.unique(sample.column("l").to_pylist(), return_inverse=True)[1], threshold)
+        trees = spark.sparkContext.broadcast([grow(x, leaf, SEED + t, known) for t in range(TREES)])  # bounded by the sample
         e, s = _compare(one, dim, trees, threshold)
         edges, sums = (e, s) if edges is None else (edges.unionByName(e), sums.unionByName(s))
     if edges is None:
@@ -207,23 +251,51 @@ def _compare(classes: DataFrame, dim: int, trees, threshold: float) -> tuple[Dat
         v = np.stack(pdf["v"].to_numpy())
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
         block = pdf["own_block"].to_numpy()
-        own = [set(o) for o in pdf["own"]]
-        links, ea, eb = np.zeros(len(ids), dtype=np.int64), [], []
+        # (row, leaf) of the leaves before this one that several rows here are in
+        own = [np.asarray(o) for o in pdf["own"]]
+        row, before = np.repeat(np.arange(len(ids)), [len(o) for o in own]), np.concatenate(own)
+        row, before = row[before < leaf], before[before < leaf]
+        _, code, uses = np.unique(before, return_inverse=True, return_counts=True)
+        if (uses == len(ids)).any():  # all pairs meet in one of them
+            return pd.DataFrame({"c": ids[:0], "links": ids[:0], "root": ids[:0]})
+
+        def met(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            """Which of the rows r and c share a leaf before this one."""
+            in_r, in_c = np.isin(row, r), np.isin(row, c)
+            shared = np.intersect1d(code[in_r], code[in_c])
+            out = np.zeros((len(r), len(c)), dtype=bool)
+            for at in range(0, len(shared), 1024):
+                part = shared[at : at + 1024]
+                sides = []
+                for rows, on in ((r, in_r), (c, in_c)):
+                    sel = on & np.isin(code, part)
+                    side = np.zeros((len(rows), len(part)), dtype=np.float32)
+                    side[np.searchsorted(rows, row[sel]), np.searchsorted(part, code[sel])] = 1
+                    sides.append(side)
+                out |= sides[0] @ sides[1].T > 0
+            return out
+
+        links, group = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         for at in range(0, len(ids), 512):
-            a, b = np.nonzero(v[at : at + 512] @ v.T >= threshold)
-            a = a + at
-            # in the task of two blocks only pairs across them count
-            sel = (a < b) & ((block[a] != block[b]) if x0 != y0 else True)
-            a, b = a[sel], b[sel]
-            first = np.fromiter((leaf == min(own[i] & own[j]) for i, j in zip(a, b)), dtype=bool, count=len(a))
-            a, b = a[first], b[first]
-            np.add.at(links, a, n[b])
-            np.add.at(links, b, n[a])
-            ea.append(a), eb.append(b)
-        a, b = (np.concatenate(ea), np.concatenate(eb)) if ea else (np.zeros(0, int), np.zeros(0, int))
-        root = roots(len(ids), a.tolist(), b.tolist())
-        out = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
-        return pd.DataFrame({"c": ids[out], "links": links[out], "root": ids[root[out]]})
+            near = v[at : at + 512] @ v[at:].T >= threshold
+            near &= np.arange(near.shape[0])[:, None] < np.arange(near.shape[1])
+            if x0 != y0:  # in the task of two blocks only pairs across them count
+                near &= block[at : at + 512, None] != block[at:]
+            r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(r):
+                continue
+            near = near[np.ix_(r, c)]
+            r, c = r + at, c + at
+            near &= ~met(r, c)
+            links[r] += near @ n[c]
+            links[c] += n[r] @ near
+            for i, to in zip(r, near):
+                if to.any():
+                    touched = np.unique(np.append(group[c[to]], group[i]))
+                    if len(touched) > 1:
+                        group[np.isin(group, touched)] = touched[0]
+        out = np.flatnonzero((links > 0) | (group != np.arange(len(ids))))
+        return pd.DataFrame({"c": ids[out], "links": links[out], "root": ids[group[out]]})
 
     found = (
         spread.select("l", "leaf", "c", "n", "v", "own", "own_block", F.col("pair.x").alias("px"), F.col("pair.y").alias("py"))

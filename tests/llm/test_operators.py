@@ -231,6 +231,28 @@ def test_embeddings_recall_against_brute_force(spark):
     assert embedding_dedup.link_embeddings(table.limit(0)).count() == 0
 
 
+def test_embeddings_recall_in_a_large_group_of_near_copies(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from chronoloom.llm import embedding_dedup
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(9000, 64))
+    x[:6000] = x[0] + rng.normal(size=(6000, 64)) * 0.19  # different vectors, at a cosine of about 0.96
+    x[8000:] = x[7000:8000] + rng.normal(size=(1000, 64)) * 0.19
+    pq.write_table(pa.table({"vec_id": range(9000), "embedding": list(x), "label": [1] * 9000}), tmp_path / "embeddings.parquet")
+    table = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in embedding_dedup.link_embeddings(table).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = y @ y.T >= 0.93
+    np.fill_diagonal(link, False)
+    want, found = link.sum(axis=1), np.array([got[i].n_links for i in range(9000)])
+    assert want[:6000].min() > 4000 and (found <= want).all()
+    assert found[:6000].sum() >= 0.98 * want[:6000].sum() and found[6000:].sum() >= 0.9 * want[6000:].sum()
+    assert {got[i].component_id for i in range(6000)} == {0}
+
+
 # 6
 
 
