@@ -179,18 +179,18 @@ def facts(src: DataFrame, k: int) -> DataFrame:
 
 
 def entries(src: DataFrame, k: int, counts, frequent: int, num: int, den: int) -> DataFrame:
-    """The index: (key, salt, d, n, pos) for every document of two shingles or more."""
+    """The index: (key, salt, salts, d, n, pos) for every document of two shingles or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sketch = WordHashes(), counts.value
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
 
             def flush() -> pa.RecordBatch:
                 cols = [_int64(np.concatenate(c)) for c in out]
                 for c in out:
                     c.clear()
-                return pa.RecordBatch.from_arrays(cols, names=["key", "salt", "d", "n", "pos"])
+                return pa.RecordBatch.from_arrays(cols, names=["key", "salt", "salts", "d", "n", "pos"])
 
             size = 0
             for d, t in zip(b.column("d").to_pylist(), b.column("t")):
@@ -200,7 +200,7 @@ def entries(src: DataFrame, k: int, counts, frequent: int, num: int, den: int) -
                 keys, pos, salts = signatures(s, sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], frequent, num, den)
                 m = len(keys)
                 salt = (xxhash.xxh3_64_intdigest(str(d)) >> 1) % salts
-                for col, v in zip(out, (keys, salt, np.full(m, d), np.full(m, len(s)), pos)):
+                for col, v in zip(out, (keys, salt, salts, np.full(m, d), np.full(m, len(s)), pos)):
                     col.append(v)
                 size += m
                 if size > 200_000:
@@ -209,7 +209,7 @@ def entries(src: DataFrame, k: int, counts, frequent: int, num: int, den: int) -
             if size:
                 yield flush()
 
-    return src.mapInArrow(run, "key long, salt long, d long, n long, pos long")
+    return src.mapInArrow(run, "key long, salt long, salts long, d long, n long, pos long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -246,7 +246,7 @@ def led(index: DataFrame, num: int, den: int) -> DataFrame:
         for cols, edge in _groups(batches, ("key", "salt")):
             size = np.diff(edge)
             # salted entries go on even if alone: others of their key are elsewhere
-            some = np.flatnonzero((size > 1) | (cols["salt"][edge[:-1]] > 0))
+            some = np.flatnonzero((size > 1) | (cols["salts"][edge[:-1]] > 1))
             if not len(some):
                 continue
             pick, lead = [], []
@@ -257,7 +257,7 @@ def led(index: DataFrame, num: int, den: int) -> DataFrame:
                 for r in range(lo + 1, hi):
                     if d[r] != d[r - 1] or n[r] != n[r - 1]:
                         rows.append(r)
-                if len(rows) == 1 and not cols["salt"][lo]:
+                if len(rows) == 1 and cols["salts"][lo] == 1:
                     continue
                 at = 0
                 while at < len(rows):

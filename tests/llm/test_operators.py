@@ -299,6 +299,26 @@ def test_ngram_join_against_brute_force(spark, k, num, den, monkeypatch):
     assert [got[i].component_id for i in range(len(texts))] == comp
 
 
+def test_ngram_join_across_salts(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    from chronoloom.llm import ngram_join
+
+    for name, small in (("FREQUENT", 4), ("SALT_ROWS", 2), ("BLOCK_ROWS", 2)):
+        monkeypatch.setattr(ngram_join, name, small)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):  # pairs whose words are all frequent, and their combinations rare
+        w = rng.sample([f"v{i}" for i in range(150)], 20)
+        texts += [" ".join(w), " ".join(w[:-1])]
+    cloudpickle.register_pickle_by_value(ngram_join)  # so that the workers see the small constants
+    try:
+        got = {r.doc_id: r.component_id for r in ngram_join.join_documents(frame(spark, texts), k=1, num=85, den=100).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(ngram_join)
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 1, 85, 100)[1]
+
+
 def test_ngram_signatures_meet_for_every_similar_pair():
     from chronoloom.llm.ngram_join import signatures, similar
 
