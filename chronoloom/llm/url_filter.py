@@ -3,7 +3,7 @@
 Native DataFrame code only.  Listed URLs are brought to a canonical form and
 put into a Bloom filter of blocks: each entry sets ``BITS`` bits inside one
 256-bit block, kept as four longs.  A page is looked up under the forms
-``host suffix + path prefix`` of its URL, as is usual for list services: the
+``host suffix + path prefix`` of its URL, as deep as the list itself goes: the
 filter passes the forms that may be listed, and an exact join with the list
 removes the false positives.  Allow and block rules (host, path) are applied
 on top; the longest fitting rule overrules the list.
@@ -32,10 +32,6 @@ from chronoloom.llm.shared import ascii_lower
 BITS = 8
 BITS_PER_ENTRY = 16
 BROADCAST_BYTES = 32 << 20
-#: Forms looked up per URL: the host and up to this many of its parent domains ...
-HOST_LEVELS = 5
-#: ... each with the whole path, the root, and up to this many leading folders.
-PATH_LEVELS = 4
 
 
 @dataclass(frozen=True)
@@ -59,22 +55,20 @@ def with_parts(df: DataFrame, url: str) -> DataFrame:
     return df.withColumn("_host", ascii_lower(host)).withColumn("_path", path).drop("_left")
 
 
-def lookup_forms(host: Column, path: Column) -> Column:
-    """The canonical forms under which a page may be listed, without repeats."""
-    labels = F.split(host, "\\.")
-    n = F.size(labels)
-    hosts = F.array(
-        *[F.when(n > i, F.call_function("substring_index", host, F.lit("."), F.lit(i) - n)) for i in range(HOST_LEVELS)],
-    )
+def lookup_forms(host: Column, path: Column, labels: int, folders: int) -> Column:
+    """The canonical forms under which a page may be listed, without repeats.
+
+    All that a list can hold whose hosts have up to ``labels`` labels and whose
+    paths have up to ``folders`` slashes.
+    """
+    n = F.least(F.size(F.split(host, "\\.")), F.lit(max(labels, 1)))
+    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
     # a suffix needs two labels at least, but the host itself always counts
-    hosts = F.filter(hosts, lambda h: h.isNotNull() & (F.contains(h, F.lit(".")) | (h == host)))
-    folders = [
-        F.when(
-            F.size(F.split(path, "/")) > i + 1, F.concat(F.substring_index(path, "/", i + 1), F.lit("/"))
-        )
-        for i in range(PATH_LEVELS)
-    ]
-    paths = F.filter(F.array(path, *folders), lambda p: p.isNotNull())
+    hosts = F.filter(hosts, lambda h: F.contains(h, F.lit(".")) | (h == host))
+    # paths begin with a slash
+    m = F.least(F.size(F.split(path, "/")) - 1, F.lit(max(folders, 1)))
+    leading = F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(F.call_function("substring_index", path, F.lit("/"), i), F.lit("/")))
+    paths = F.concat(F.array(path), leading)
     forms = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(forms))
 
@@ -142,14 +136,16 @@ def filter_urls(
         .select(F.concat("_host", F.when(F.col("_path") == "", "/").otherwise(F.col("_path"))).alias("_form"))
         .distinct()
     )
-    n_blocks = max(1, -(-entries.count() * BITS_PER_ENTRY // 256))
+    host_labels, slashes = F.size(F.split(F.substring_index("_form", "/", 1), "\\.")), F.size(F.split("_form", "/")) - 1
+    held = entries.agg(F.count("*").alias("n"), F.max(host_labels).alias("labels"), F.max(slashes).alias("folders")).first()
+    n_blocks = max(1, -(-held.n * BITS_PER_ENTRY // 256))
     path = F.when(F.col("_path") == "", "/").otherwise(F.col("_path"))
     # one probe per different host and path, so that a hot URL is looked up once
     probes = (
         src.where("_host <> ''")
         .select("_host", "_path")
         .distinct()
-        .select("_host", "_path", F.explode(lookup_forms(F.col("_host"), path)).alias("_form"))
+        .select("_host", "_path", F.explode(lookup_forms(F.col("_host"), path, held.labels or 0, held.folders or 0)).alias("_form"))
     )
     maybe = bloom_pass(probes, "_form", bloom_blocks(entries, "_form", n_blocks), n_blocks)
     sure = maybe.join(entries, "_form", "left_semi").select("_host", "_path").distinct().withColumn("_listed", F.lit(True))

@@ -119,6 +119,24 @@ def test_url_rules_and_list(spark):
     assert filter_urls(pages.limit(0), listed.limit(0), []).count() == 0
 
 
+def test_url_list_at_any_depth(spark):
+    from chronoloom.llm.url_filter import filter_urls
+
+    urls = [
+        "http://a.b.c.d.e.spam-farm.example.com/",
+        "http://1.2.3.4.5.6.7.8.9.spam-farm.example.com/x",
+        "http://ok.org/a/b/c/d/page",
+        "http://w.ok.org/a/b/c/d/e/f/g/",
+        "http://ok.org/a/b/c/page",
+        "http://q.w.e.r.t.y.deep.org/",
+        "http://e.r.t.y.deep.org/",
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("spam-farm.example.com/",), ("ok.org/a/b/c/d/",), ("w.e.r.t.y.deep.org/",)], "url string")
+    got = {r.page_id: r.verdict for r in filter_urls(pages, listed, []).collect()}
+    assert [got[i] for i in range(7)] == ["block"] * 4 + ["allow", "block", "allow"]
+
+
 def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
     from chronoloom.llm.url_filter import BITS_PER_ENTRY, bloom_blocks, bloom_pass
 
