@@ -197,8 +197,9 @@ def secret(text: str, key: bytes, back: bool) -> str | None:
 
 
 #: The usual heads of access keys and of assigned secrets.
+_KEY_HEAD = r"AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk_test_|sk-|xox[abprs]-|glpat-|AIza"
 _SECRET_HEAD = (
-    r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk_test_|sk-|xox[abprs]-|glpat-|AIza|"
+    r"(?:" + _KEY_HEAD + r"|"
     r"(?i:(?:api|access|secret|private|auth)?[_-]?(?:key|token|secret|password|passwd|pwd)\s{0,2}[=:]\s{0,2}[\"']?))"
 )
 KINDS = (
@@ -212,7 +213,7 @@ KINDS = (
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)", phone),
 )
 #: Texts without an ASCII digit, @ or a secret's head hold nothing; most lines are skipped by it.
-_CANDIDATE = re.compile(r"[0-9@]|(?i:key|token|secret|passw|pwd)")
+_CANDIDATE = re.compile(r"[0-9@]|(?i:key|token|secret|passw|pwd)|(?<![A-Za-z0-9])(?:" + _KEY_HEAD + ")")
 _BLANK = re.compile(r"\s")
 _ANY = [(kind, re.compile(pattern), f) for kind, pattern, f in KINDS]
 

@@ -64,6 +64,16 @@ def test_pseudonyms_keep_formats_and_round_trip():
     assert pii.iban_number(iban.replace(" ", "")) % 97 == 1
 
 
+def test_secrets_of_letters_only():
+    from chronoloom.llm import pii
+
+    for head in ("AKIA", "ASIA", "ghp_", "github_pat_", "sk_live_", "sk_test_", "sk-", "xoxb-", "glpat-", "AIza"):
+        text = "word " * 60 + f"the value {head}QWERTYUIOPASDFGH ends" + " word" * 60
+        new, kinds = pii.replace_all(text, b"0123456789abcdef")
+        assert kinds == ["secret"] and "QWERTYUIOPASDFGH" not in new, head
+        assert pii.replace_all(new, b"0123456789abcdef", back=True)[0] == text
+
+
 def test_pii_query_edges(spark):
     from chronoloom.llm import pii
 
