@@ -23,7 +23,8 @@ numbers (10 rounds of keyed BLAKE2b), with cycle walking where the domain is
 smaller than the product of the two halves.
 
 Edge cases: a null text stays null, with no items; empty texts stay empty.
-Numbers that fail their check are left alone.  Repeated rows get equal results;
+Numbers that fail their check are left alone; a card is
+also found among other groups of digits.  Repeated rows get equal results;
 nulls and clashing names in other columns do no harm, as only the id and the
 text are read.  Very long texts are searched whole.  Empty tables give no rows.
 """
@@ -43,6 +44,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm.shared import small_batches
 
 ROUNDS = 10
+#: Permutations of a run's cards until they are found in the same places; beyond, the run can't be undone.
+CARD_WALK = 2000
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -131,6 +134,42 @@ def card(text: str, key: bytes, back: bool) -> str | None:
     return put_digits(text, body + str(-luhn_sum(body + "0") % 10))
 
 
+def card_spans(run: str) -> list[tuple[int, int]]:
+    """The cards in a run of digits, blanks and hyphens: whole groups of digits, leftmost and longest first."""
+    groups = [m.span() for m in re.finditer("[0-9]+", run)]
+    out, i = [], 0
+    while i < len(groups):
+        n, ends = 0, []
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13:
+                ends.append(j)
+        for j in reversed(ends):
+            if valid_card(only_digits(run[groups[i][0] : groups[j][1]])):
+                out.append((groups[i][0], groups[j][1]))
+                i = j
+                break
+        i += 1
+    return out
+
+
+def cards(run: str, key: bytes, back: bool) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the cards in a run, which are found in the same places again."""
+    spans = card_spans(run)
+    new = run
+    for _ in range(CARD_WALK // max(1, len(spans)) + 1 if spans else 0):
+        parts, at = [], 0
+        for s, e in spans:
+            parts += [new[at:s], card(new[s:e], key, back)]
+            at = e
+        new = "".join([*parts, new[at:]])
+        if card_spans(new) == spans:
+            break
+    return [(s, e, new[s:e]) for s, e in spans]
+
+
 def phone(text: str, key: bytes, back: bool) -> str | None:
     m = re.match(r"\+\d{1,3}(?=[ .(-])|", text)
     head, tail = text[: m.end()], text[m.end() :]
@@ -209,7 +248,7 @@ KINDS = (
     ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)", date),
     ("ipv4", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)", ipv4),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
-    ("card", r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)", card),
+    ("card", r"(?<![\d.])\d(?:[ -]?\d){12,}(?!\d)", cards),
     ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)", phone),
 )
 #: Texts without an ASCII digit, @ or a secret's head hold nothing; most lines are skipped by it.
@@ -242,6 +281,13 @@ def find(text: str, key: bytes, back: bool = False) -> list[tuple[int, int, str,
         own: list[tuple[int, int, str, str]] = []
         for kind, pattern, replace in _ANY:
             for m in pattern.finditer(text, max(lo, taken[-1][1] if taken else 0), end):
+                if kind == "card":  # in what other items leave of the run
+                    at, parts = m.start(), []
+                    for s, e in sorted((s, e) for s, e, _, _ in own if s < m.end() and m.start() < e) + [(m.end(), m.end())]:
+                        parts += [(at + a, at + b, kind, new) for a, b, new in cards(text[at : max(at, s)], key, back)]
+                        at = max(at, e)
+                    own += parts
+                    continue
                 if any(m.start() < e and s < m.end() for s, e, _, _ in own):
                     continue
                 new = replace(m.group(), key, back)

@@ -64,6 +64,25 @@ def test_pseudonyms_keep_formats_and_round_trip():
     assert pii.iban_number(iban.replace(" ", "")) % 97 == 1
 
 
+def test_cards_beside_other_digits():
+    from chronoloom.llm import pii
+
+    key, number = b"0123456789abcdef", "4041894974608795"
+    spaced = "4041 8949 7460 8795"
+    for text in (
+        f"card {number} 12/26",
+        f"no 12 {number}",
+        f"no 123 456 {spaced} 123",
+        f"{spaced} 555 12",
+        f"{number} {number}-1",
+        f"2024-05-17 {number} 123-45-6789",
+    ):
+        new, kinds = pii.replace_all(text, key)
+        assert "card" in kinds and number not in new and spaced not in new, text
+        assert pii.replace_all(new, key, back=True)[0] == text
+    assert pii.replace_all("no 12 4041894974608796", key) == ("no 12 4041894974608796", [])
+
+
 def test_secrets_of_letters_only():
     from chronoloom.llm import pii
 
