@@ -62,7 +62,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.remove_lines(docs).withColumnsRenamed({"_lines": "n_lines", "_removed": "n_removed"})
+    return line_dedup.remove_lines(docs)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,16 @@ WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a temporary folder is made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local master, where
+    that is unset, as in tests, gets a temporary folder of its own.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("chronoloom.local.shared", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what is
@@ -40,8 +42,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**(options or {})).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``durable`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, df._durable_path
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,10 +164,13 @@ def only_ids(df: DataFrame, id_col: str, ids: DataFrame, *, keep: bool = True) -
     The ids are counted: few are broadcast, so that the texts stay where they
     are; many are joined by a shuffle.
     """
-    side = ids.select(F.col("d").alias("_cl_d")).distinct()
+    name = "d_of_side"
+    while name in df.columns:
+        name += "_"
+    side = ids.select(F.col("d").alias(name)).distinct()
     if side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         side = F.broadcast(side)
-    return df.join(side, F.col(id_col) == F.col("_cl_d"), "left_semi" if keep else "left_anti")
+    return df.join(side, F.col(f"`{id_col}`") == F.col(name), "left_semi" if keep else "left_anti")
 
 
 TABLE_SCHEMA = "k long, p long, v binary"
