@@ -156,6 +156,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 #: At most so many ids are broadcast (16 bytes each and the hash table's rest).
 BROADCAST_IDS = 500_000
+#: Rows of a few numbers each that a join may broadcast (about 100 MB in memory).
+BROADCAST_SIDE = 1_000_000
 
 
 def only_ids(df: DataFrame, id_col: str, ids: DataFrame, *, keep: bool = True) -> DataFrame:
@@ -173,6 +175,11 @@ def only_ids(df: DataFrame, id_col: str, ids: DataFrame, *, keep: bool = True) -
     return df.join(side, F.col(f"`{id_col}`") == F.col(name), "left_semi" if keep else "left_anti")
 
 
+def small_side(side: DataFrame) -> DataFrame:
+    """``side`` (ids or places, a written table), to be broadcast if it is counted to be small, else joined by a shuffle."""
+    return F.broadcast(side) if side.limit(BROADCAST_SIDE + 1).count() <= BROADCAST_SIDE else side
+
+
 TABLE_SCHEMA = "k long, p long, v binary"
 
 

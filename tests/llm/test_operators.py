@@ -241,6 +241,18 @@ def test_lines_against_brute_force(spark):
     assert got == dict(enumerate(want))
 
 
+def test_lines_of_common_words_meet_in_blocks(spark, monkeypatch):
+    from chronoloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "SALT_CLASS", 3)
+    monkeypatch.setattr(line_dedup, "LONG_LINE", 8)
+    rng = random.Random(5)
+    pool = [rng.sample([f"w{i}" for i in range(40)], rng.randint(1, 25)) for _ in range(25)]
+    texts = ["\n".join(" ".join(w if rng.random() > 0.07 else "w7" for w in rng.choice(pool)) for _ in range(4)) for _ in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_lines(texts)))
+
+
 def test_line_edges(spark):
     from chronoloom.llm import line_dedup
 
