@@ -484,6 +484,21 @@ def test_hamming_search_against_brute_force(spark):
     assert hamming_search.top_k(table.limit(0), table.limit(0), 3).count() == 0
 
 
+def test_hamming_search_in_blocks_with_equal_queries(spark, monkeypatch):
+    from chronoloom.llm import hamming_search
+
+    monkeypatch.setattr(hamming_search, "BLOCK", 3)
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 1 << 12, 90)  # most segments are equal, many codes too
+    rows = [(i, int(c), 1, 2, 3) for i, c in enumerate(codes)] * 2  # repeated rows, clashing names
+    table = spark.createDataFrame(rows, "vec_id long, code2 long, seg int, qc int, rank int").withColumnRenamed("code2", "code")
+    got = {}
+    for r in hamming_search.top_k(table, table.where("vec_id % 10 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+    for q in range(0, 90, 10):
+        assert sorted(got[q]) == sorted((int(codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:5]
+
+
 # 9
 
 
