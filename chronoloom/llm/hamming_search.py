@@ -7,8 +7,8 @@ query's: after radius a is done in every segment, all codes at distance up to
 m * (a + 1) - 1 have been seen.  A query is settled once its kth smallest
 verified distance is within that bound; only the others go on.
 
-Segments are about as wide as the logarithm of the number of codes, as lookups
-should hit about one code each.  The flipped values are made by expressions,
+Segments grow wider with the number of codes, as lookups should hit few codes
+each.  The flipped values are made by expressions,
 one bit after the other, and meet the index by a shuffle, never a broadcast, as
 they are many times the queries.  What is farther than the kth distance known so
 far is dropped at once.
@@ -27,7 +27,6 @@ whatever their names.  Empty tables give no rows.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,8 +51,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def segment_count(n_codes: int) -> int:
-    """How many segments: 2 (32 bits each) to 8 (8 bits each)."""
-    return min(8, max(2, round(CODE_BITS / max(1.0, math.log2(max(2, n_codes))))))
+    """How many segments: of 8, 16, 21 or 32 bits."""
+    return next(m for size, m in ((1 << 10, 8), (1 << 24, 4), (1 << 28, 3), (1 << 64, 2)) if n_codes < size)
 
 
 def segments(code: Column, m: int) -> Column:
