@@ -7,8 +7,8 @@ Jaccard similarity >= t share at least ``l`` tokens within the first
 ``n - ceil(t * n) + l`` of each.  Tokens fall into classes: rare ones are
 indexed singly, frequent ones in combinations of two within each of m
 subclasses, with prefixes extended by m, so that a similar pair shares a rare
-token or two frequent tokens of one subclass.  m grows with the set's size to
-bound the combinations; a set is indexed for its own m and that of its largest
+token or two frequent tokens of one subclass.  m grows with the set's size, so
+that the combinations stay linear in it; a set is indexed for its own m and that of its largest
 possible partner.
 
 Equal sets are one class from the start.  Within an index entry's documents,
@@ -25,8 +25,13 @@ then by the whole sets.
 Edge cases: null texts and texts without words have the empty set and are
 linked with nothing; texts of fewer than ``k`` words are one shingle.  Rows
 with a null id are returned without component.  Rows of one id are one
-document: its sets are compared separately, any of them may link.  Empty tables
-give no rows.  Other columns are ignored, whatever their names.
+document: its sets are compared separately, any of them may link.  Very long
+texts are compared whole.  Empty tables give no rows.  Other columns are
+ignored, whatever their names.  Ids are long numbers, or of a type that casts
+to them.
+
+The operator returns components; links inside a component beyond those that
+join it are not listed.
 """
 
 from __future__ import annotations
@@ -34,9 +39,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.shared import (
@@ -54,11 +60,11 @@ from chronoloom.llm.shared import (
 SKETCH_BITS, SKETCH_BLOCK, FANOUT = 20, 1 << 17, 16
 #: A token of at least so many, and 4 times the mean bucket, counts as frequent.
 FREQUENT = 64
-#: Subclasses of frequent tokens for sets below each size.
-SUBCLASSES = ((256, 1), (4096, 8), (1 << 62, 64))
+#: Shingles of a set for each subclass of frequent tokens (about): keeps the combinations linear in the set's size.
+CLASS_ROWS = 64
 #: Rows of an index entry under one salt (about); rows of one block of pairs.
 SALT_ROWS, BLOCK_ROWS = 50_000, 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +92,18 @@ def shingle_set(text: str | None, k: int, cache: WordHashes) -> np.ndarray:
     return np.unique(mix64(acc))
 
 
+def _set_hash(text: Column, k: int) -> Column:
+    """The hash of a text's set, as text; null for the empty set."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        cache = WordHashes()
+        sets = [shingle_set(t, k, cache) for t in texts]
+        return pd.Series([xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets])
+
+    return of(text.cast("string"))
+
+
 def bitmap(tokens: np.ndarray) -> bytes:
     """Parity of the tokens per bit; the number of bits is a power of two from 2 n up."""
     bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
@@ -104,7 +122,17 @@ def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
 
 
 def subclasses(n: int) -> int:
-    return next(m for size, m in SUBCLASSES if n < size)
+    """A power of two that grows with the set."""
+    return 1 << max(0, (n // CLASS_ROWS).bit_length() - 1)
+
+
+def schemes_of(n: int, num: int, den: int) -> list[int]:
+    """The subclasses of the set itself and of every larger set that may be similar."""
+    m, out = subclasses(n), []
+    while m <= subclasses(n * den // num):
+        out.append(m)
+        m *= 2
+    return out
 
 
 def similar(overlap: int, na: int, nb: int, num: int, den: int) -> bool:
@@ -117,11 +145,11 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, num: int,
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
     need = -(-num * n // den)
-    schemes = sorted({subclasses(n), subclasses(n * den // num)})
+    schemes = schemes_of(n, num, den)
     longest = min(n, n - need + 1 + schemes[-1])
     n_rare = int(np.searchsorted(counts[:longest], frequent))
     singles = longest if need < schemes[-1] + 1 else n_rare
-    keys, pos, salts = [tokens[:singles]], [np.arange(singles)], [np.ones(singles, dtype=np.int64)]
+    keys, pos, salts = [tokens[:singles]], [np.arange(singles)], [counts[:singles] // SALT_ROWS + 1]
     for m in schemes:
         end = min(n, n - need + 1 + m)
         hot, cnt = tokens[n_rare:end], counts[n_rare:end]
@@ -239,6 +267,11 @@ def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[
         yield held, bounds(held)
 
 
+def tasks(spark) -> int:
+    """Partitions of what Python workers read: as many as shuffles have, never merged to fewer."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def led(index: DataFrame, num: int, den: int) -> DataFrame:
     """Entries with several sets: (key, d, n, pos, lead)."""
 
@@ -273,7 +306,7 @@ def led(index: DataFrame, num: int, den: int) -> DataFrame:
                     [_int64(cols[c][pick]) for c in ("key", "d", "n", "pos")] + [pa.array(lead, pa.int64())], names=["key", "d", "n", "pos", "lead"]
                 )
 
-    dealt = index.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "d")
+    dealt = index.repartition(tasks(index.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "n", "d")
     return dealt.mapInArrow(run, "key long, d long, n long, pos long, lead long")
 
 
@@ -359,7 +392,7 @@ def across(rows: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    dealt = live.repartition("key", "px", "py").sortWithinPartitions("key", "px", "py", "n")
+    dealt = live.repartition(tasks(live.sparkSession), "key", "px", "py").sortWithinPartitions("key", "px", "py", "n")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -406,14 +439,14 @@ def verified(pairs: DataFrame, info: DataFrame, src: DataFrame, k: int, num: int
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     texts = only_ids(src, "d", ends.select("d"))
-    dealt = ends.join(texts.mapInArrow(sets, "d long, s binary"), "d").repartition("a", "b").sortWithinPartitions("a", "b", "d")
+    dealt = ends.join(texts.mapInArrow(sets, "d long, s binary"), "d").repartition(tasks(src.sparkSession), "a", "b").sortWithinPartitions("a", "b", "d")
     return durable(dealt.mapInArrow(exact, "a long, b long").distinct(), "similar")
 
 
 def jaccard_components(
     docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """(d, n) per row, and (node, component) of documents linked with another.
+    """(d, n, h1, h2) per row: the set's size and hash; and (node, component) of documents linked with another.
 
     Two documents are linked when ``den * overlap >= num * union``.
     """
@@ -429,7 +462,10 @@ def jaccard_components(
     # copies: each set's documents point to the smallest
     first = known.groupBy("n", "h1", "h2").agg(F.min("d").alias("b"), F.max("d").alias("z")).where("b <> z").drop("z")
     copies = durable(known.select("d", "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select(F.col("d").alias("a"), "b").where("a <> b"), "copies")
-    single = only_ids(src, "d", copies.select(F.col("a").alias("d")), keep=False)
+    # an id whose sets are all copies of a smaller id's needs no entries of its own
+    sets = known.select("d", "n", "h1", "h2").distinct().groupBy("d").agg(F.count("*").alias("sets"))
+    once = sets.where("sets = 1").select("d").join(copies.select(F.col("a").alias("d")).distinct(), "d")
+    single = only_ids(src, "d", durable(once, "once"), keep=False)
     index = durable(led(entries(single, k, counts, frequent, num, den), num, den), "index")
     tested = durable(index.where("lead <> d").select(F.least("lead", "d").alias("a"), F.greatest("lead", "d").alias("b")).distinct(), "leads")
     edges = verified(tested, info, src, k, num, den).unionByName(copies)
@@ -440,7 +476,7 @@ def jaccard_components(
     more = verified(durable(more, "across"), info, src, k, num, den)
     if not more.isEmpty():
         parts = components(edges.unionByName(more))
-    return info.select("d", "n"), parts
+    return info.select("d", "n", "h1", "h2"), parts
 
 
 def join_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -455,12 +491,19 @@ def join_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Dat
 def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without those linked to a smaller id; columns as before.
 
-    Of rows that repeat an id, one stays if the id has words.
+    Of rows that repeat an id and its set of shingles, one stays if it has words.
     """
+    text_col = options.get("text_col", "text")
     sizes, parts = jaccard_components(docs, id_col=id_col, **options)
     gone = parts.where("node <> component").select(F.col("node").alias("d"))
     left = only_ids(docs, id_col, gone, keep=False)
-    twice = durable(sizes.where("d IS NOT NULL AND n > 0").groupBy("d").agg(F.count("*").alias("m")).where("m > 1").select("d"), "twice")
+    twice = sizes.where("d IS NOT NULL AND n > 0").groupBy("d", "n", "h1", "h2").agg(F.count("*").alias("m")).where("m > 1")
+    twice = durable(twice.select("d").distinct(), "twice")
     if twice.isEmpty():
         return left
-    return only_ids(left, id_col, twice, keep=False).unionByName(only_ids(left, id_col, twice).dropDuplicates([id_col]))
+    # rows that repeat an id and its set: one of them stays
+    clash = "set_of_text"
+    while clash in docs.columns:
+        clash += "_"
+    again = only_ids(left, id_col, twice).withColumn(clash, _set_hash(F.col(f"`{text_col}`"), options.get("k", 5)))
+    return only_ids(left, id_col, twice, keep=False).unionByName(again.dropDuplicates([id_col, clash]).drop(clash))

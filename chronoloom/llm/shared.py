@@ -138,6 +138,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # settled once every node has one edge, to a node without a smaller one
         open_nodes = nxt.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n > 1")
         chained = nxt.join(nxt.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        discard(cur)
         cur = nxt
         if open_nodes.isEmpty() and chained.isEmpty():
             break
