@@ -59,8 +59,13 @@ class Feistel:
         self.key, self.tweak = key, tweak.encode()
 
     def _round(self, i: int, x: int) -> int:
-        data = self.tweak + bytes([i]) + x.to_bytes(32, "big")
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big")
+        """A number drawn from a keyed hash, 16 bytes longer than a half, so that its remainder is even."""
+        number = x.to_bytes((x.bit_length() + 7) // 8, "big")
+        data = len(self.tweak).to_bytes(4, "big") + self.tweak + bytes([i]) + number
+        out = b""
+        for block in range(-(-((max(self.left, self.right).bit_length() + 7) // 8 + 16) // 64)):
+            out += hashlib.blake2b(block.to_bytes(4, "big") + data, key=self.key).digest()
+        return int.from_bytes(out, "big")
 
     def _once(self, x: int, back: bool) -> int:
         a, b = divmod(x, self.right)
@@ -105,7 +110,7 @@ def by_class(text: str, key: bytes, tweak: str, back: bool = False) -> str:
 def put_digits(shape: str, digits: str) -> str:
     """The digits in the places that digits have in ``shape``."""
     left = iter(digits)
-    return "".join(next(left) if c.isdigit() else c for c in shape)
+    return "".join(next(left) if c in DIGITS else c for c in shape)
 
 
 def only_digits(text: str) -> str:
@@ -171,7 +176,7 @@ def cards(run: str, key: bytes, back: bool) -> list[tuple[int, int, str]]:
 
 
 def phone(text: str, key: bytes, back: bool) -> str | None:
-    m = re.match(r"\+\d{1,3}(?=[ .(-])|", text)
+    m = re.match(r"\+[0-9]{1,3}(?=[ .(-])|", text)
     head, tail = text[: m.end()], text[m.end() :]
     if not 7 <= len(only_digits(tail)) <= 12:
         return None
@@ -244,12 +249,12 @@ _SECRET_HEAD = (
 KINDS = (
     ("secret", r"(?<![A-Za-z0-9])" + _SECRET_HEAD + r"[A-Za-z0-9_\-/+]{8,}", secret),
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w@])", email),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
-    ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)", date),
-    ("ipv4", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)", ipv4),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
-    ("card", r"(?<![\d.])\d(?:[ -]?\d){12,}(?!\d)", cards),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)", phone),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
+    ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])", date),
+    ("ipv4", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])", ipv4),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
+    ("card", r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,}(?![0-9])", cards),
+    ("phone", r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])", phone),
 )
 #: Texts without an ASCII digit, @ or a secret's head hold nothing; most lines are skipped by it.
 _CANDIDATE = re.compile(r"[0-9@]|(?i:key|token|secret|passw|pwd)|(?<![A-Za-z0-9])(?:" + _KEY_HEAD + ")")

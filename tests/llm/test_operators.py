@@ -83,6 +83,46 @@ def test_cards_beside_other_digits():
     assert pii.replace_all("no 12 4041894974608796", key) == ("no 12 4041894974608796", [])
 
 
+def test_long_secrets_and_other_scripts_digits():
+    from chronoloom.llm import pii
+
+    key = b"0123456789abcdef"
+    for text in ("token=" + "aB3" * 40, "password: " + "q" * 3000, "call (555) 123-45\u0664\u0667 or \u0661\u0662-\u0663", "1\u0662.0.0.1 2024-05-1\u0667"):
+        new, _ = pii.replace_all(text, key)
+        assert pii.replace_all(new, key, back=True)[0] == text and len(new) == len(text)
+    assert pii.replace_all("token=" + "aB3" * 40, key)[0] != "token=" + "aB3" * 40
+
+
+def test_feistel_against_a_plain_network():
+    """The rounds written out once more, over sizes beyond a digest too."""
+    import hashlib
+
+    from chronoloom.llm.pii import ROUNDS, Feistel
+
+    key = b"0123456789abcdef"
+    for size in (7, 1000, 10**20, 1 << 700):
+        left = math.isqrt(size - 1) + 1
+        right = -(-size // left)
+
+        def draw(i, x):
+            number = x.to_bytes((x.bit_length() + 7) // 8, "big")
+            n = -(-((max(left, right).bit_length() + 7) // 8 + 16) // 64)
+            data = [k.to_bytes(4, "big") + (5).to_bytes(4, "big") + b"tweak" + bytes([i]) + number for k in range(n)]
+            return int.from_bytes(b"".join(hashlib.blake2b(d, key=key).digest() for d in data), "big")
+
+        for x in (0, 1, size // 3, size - 1):
+            y = x
+            while True:
+                a, b = divmod(y, right)
+                for i in range(ROUNDS):
+                    a, b = ((a + draw(i, b)) % left, b) if i % 2 == 0 else (a, (b + draw(i, a)) % right)
+                y = a * right + b
+                if y < size:
+                    break
+            f = Feistel(key, "tweak", size)
+            assert f.permute(x) == y and f.permute(y, back=True) == x
+
+
 def test_secrets_of_letters_only():
     from chronoloom.llm import pii
 
@@ -414,6 +454,16 @@ def test_keep_one_of_each_group(spark):
     assert ngram_join.keep_one_each(docs.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_length(spark):
+    from chronoloom.llm import embedding_dedup
+
+    vectors = [[1e200, 0.0], [1.0001e200, 1e190], [1e-200, 0.0], [0.0, 3e-200], [1.0, None], [float("inf"), 1.0], [0.0, 0.0], None]
+    rows = [(i, v, "a", i, "x") for i, v in enumerate(vectors)] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, c long, leaf string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_embeddings(table).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from chronoloom.llm.shared import components
 
@@ -513,6 +563,12 @@ def test_language_held_out(spark):
     assert np.mean([r.rejected for r in rows]) < 0.02
 
 
+def test_numbers_are_no_letters():
+    from chronoloom.llm.language_id import normalised
+
+    assert normalised("\u00b2 \u00bd 12 _") == b"" and normalised("\u00b2 a") != b"" and normalised("\u4e2d") != b""
+
+
 def test_language_edges(spark):
     from chronoloom.llm import language_id
 
@@ -536,7 +592,6 @@ def test_packing_round_trip(spark):
     from chronoloom.llm import queries
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     rows = queries.op10_packing(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     by_doc, by_seq = {}, {}
