@@ -11,7 +11,8 @@ Edge cases: null texts and texts without a letter get ``und``, score 0, and
 are rejected.  Ties go to the language first in code point order, with margin
 0, hence rejected.  Repeated rows get equal results.  Languages that are null
 teach nothing.  Without any learned language every result is ``und``.  An empty
-table gives no rows.  Other columns are ignored whatever their names; the
+table gives no rows.  Very long texts are encoded whole, piece by piece; of a text
+that teaches, a slice is taken.  Other columns are ignored whatever their names; the
 language column is only read for learning.
 """
 
@@ -38,7 +39,11 @@ _NOT_WORD = re.compile(r"[\W\d_]+")
 
 
 def normalised(text: str) -> bytes:
-    return _NOT_WORD.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    """Lower-case words; empty without a letter (a character such as a half or a superscript is a number)."""
+    words = _NOT_WORD.sub(" ", text.lower()).strip()
+    if not words.isascii() and not any(map(str.isalpha, words)):
+        return b""
+    return words.encode("utf-8", "replace")
 
 
 @dataclass(frozen=True)
@@ -65,10 +70,13 @@ def fit(docs: DataFrame, *, where: Column | None = None, id_col: str = "doc_id",
         F.lit(0.0),
     )
     room = F.greatest(F.lit(0), F.char_length("t") - SAMPLE_CHARS)
-    at = F.floor(unit_hash(F.lit(2), F.col("i")) * (room + 1)).cast("int") + 1
-    picked = rows.where(unit_hash(F.lit(1), F.col("i")) < rate).select(
-        "l", unit_hash(F.lit(3), F.col("i")).alias("h"), F.substring("t", at, F.lit(SAMPLE_CHARS)).alias("s")
+    # by id and text, so that rows of a null or repeated id are drawn one by one
+    at = F.floor(unit_hash(F.lit(2), F.col("i"), F.col("t")) * (room + 1)).cast("int") + 1
+    picked = rows.where(unit_hash(F.lit(1), F.col("i"), F.col("t")) < rate).select(
+        "l", unit_hash(F.lit(3), F.col("i"), F.col("t")).alias("h"), F.substring("t", at, F.lit(SAMPLE_CHARS)).alias("s")
     )
+    # equal rows are drawn together, so the bound is kept by a limit
+    picked = picked.orderBy("h", "l", "s").limit(2 * SAMPLE_DOCS * len(counts))
     parts: dict[str, list[tuple[float, bytes]]] = {k: [] for k in counts}
     for r in picked.collect():
         parts[r.l].append((r.h, normalised(r.s)))
@@ -112,9 +120,21 @@ def predict(
     min_margin: float = MIN_MARGIN,
 ) -> DataFrame:
     """``keep`` columns, lang_pred, score (0 to 1), margin and rejected, per row."""
+    told, names = _told(docs, model, text_col, keep, min_margin)
+    return told.select(
+        *[F.col(n).alias(c) for n, c in zip(names, keep)],
+        F.col("l").alias("lang_pred"),
+        F.col("s").alias("score"),
+        F.col("m").alias("margin"),
+        F.col("r").alias("rejected"),
+    )
+
+
+def _told(docs: DataFrame, model: LanguageModel, text_col: str, keep: tuple[str, ...], min_margin: float) -> tuple[DataFrame, list[str]]:
+    """The kept columns under names k0, k1, ..., with l, s, m and r."""
     small_batches(docs.sparkSession)
-    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    src = docs.select(*kept, F.col(text_col).alias("t"))
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    src = docs.select(*kept, F.col(f"`{text_col}`").cast("string").alias("t"))
     names = [f"k{i}" for i in range(len(keep))]
     schema = ", ".join([f"{n} {src.schema[n].dataType.simpleString()}" for n in names] + ["l string, s double, m double, r boolean"])
 
@@ -128,19 +148,11 @@ def predict(
             cols += [pa.array(lang, pa.string()), pa.array(s, pa.float64()), pa.array(m, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "l", "s", "m", "r"])
 
-    out = src.mapInArrow(run, schema)
-    return out.select(
-        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("l").alias("lang_pred"),
-        F.col("s").alias("score"),
-        F.col("m").alias("margin"),
-        F.col("r").alias("rejected"),
-    )
+    return src.mapInArrow(run, schema), names
 
 
 def keep_accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` whose language is told clearly; columns as before."""
     cols = tuple(docs.columns)
-    return predict(docs, model, text_col=text_col, keep=cols, min_margin=min_margin).where("NOT rejected").select(
-        *[F.col(c) for c in cols]
-    )
+    told, names = _told(docs, model, text_col, cols, min_margin)
+    return told.where("NOT r").select(*[F.col(n).alias(c) for n, c in zip(names, cols)])

@@ -86,7 +86,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
     model = language_id.fit(docs, where=~held_out)
-    return language_id.predict(docs, model).withColumn("held_out", held_out)
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
