@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ class WordTokenizer:
     The tokenizer's pattern never joins what stands before a single blank with
     what follows it, if both neighbours are no white space.  Texts in which
     all blanks stand so are encoded word by word, each word with its blank in
-    front; any other text is encoded as a whole.
+    front; single line ends between such words are tokens of their own.  Any
+    other text is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -61,32 +63,41 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the names of special tokens in a text are these tokens, whatever stands beside them
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}  # of a word with a blank in front
+        self.firsts: dict[str, bytes] = {}  # of a word without one, at the start of a line
+        self.line_end = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    @staticmethod
-    def by_words(text: str) -> bool:
+    def by_words(self, text: str) -> bool:
         if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
             return False
-        return not _OTHER_SPACE.search(text)
+        return not _OTHER_SPACE.search(text) and not any(s in text for s in self.special)
+
+    @staticmethod
+    def lines(text: str) -> list[str]:
+        """The lines, where each line end stands alone between two characters that are no white space."""
+        return [text] if text[0] == "\n" or text[-1] == "\n" or "\n\n" in text else text.split("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        split = {i: t.split(" ") for i, t in enumerate(texts) if self.by_words(t)}
+        for cache, most in ((self.cache, CACHE_WORDS), (self.firsts, CACHE_WORDS // 4)):
+            for word in list(islice(cache, len(cache) // 2)) if len(cache) > most else ():
+                del cache[word]  # the older half
+        split = {i: [line.split(" ") for line in self.lines(t)] for i, t in enumerate(texts) if self.by_words(t)}
         rest = [i for i in range(len(texts)) if i not in split]
-        new = list(set().union(*split.values()).difference(self.cache))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.cache.update(zip(part, self.whole([" " + w for w in part])))
-        firsts = dict(zip(split, self.whole([ws[0] for ws in split.values()]))) if split else {}
+        lines = [ws for text in split.values() for ws in text]
+        for cache, wanted, blank in ((self.cache, {w for ws in lines for w in ws[1:]}, " "), (self.firsts, {ws[0] for ws in lines}, "")):
+            new = list(wanted.difference(cache))
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                cache.update(zip(part, self.whole([blank + w for w in part])))
         out = [b""] * len(texts)
-        for i, ws in split.items():
-            out[i] = firsts[i] + b"".join([self.cache[w] for w in ws[1:]])
+        for i, text in split.items():
+            out[i] = self.line_end.join([self.firsts[ws[0]] + b"".join([self.cache[w] for w in ws[1:]]) for ws in text])
         if rest:
             for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
                 out[i] = ids
