@@ -149,6 +149,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim).astype(np.float64)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows brought to length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def link_embeddings(
     table: DataFrame,
     *,
@@ -181,7 +187,7 @@ def link_embeddings(
         rate = min(1.0, SAMPLE_ROWS / max(count, 1))
         sample = one.where(unit_hash(F.lit(SEED), F.col("c")) < rate).select("v", "c", "l").orderBy("c").limit(2 * SAMPLE_ROWS).toArrow()
         x = _matrix(sample.column("v").combine_chunks(), dim)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_rows(x)
         # leaves hold LEAF_ROWS of the whole table, if the sample can tell so much
         leaf = max(8, int(LEAF_ROWS * len(x) / max(count, 1)))
         known = known_links(x, np.unique(sample.column("l").to_pylist(), return_inverse=True)[1], threshold)
@@ -216,7 +222,7 @@ def _compare(classes: DataFrame, dim: int, trees, threshold: float) -> tuple[Dat
     def drop_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("v"), dim)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            unit = unit_rows(x)
             own: list[list[int]] = [[] for _ in range(len(x))]
             for t, tree in enumerate(trees.value):
                 for rows, leaf in leaves_of(tree, unit):
@@ -249,7 +255,7 @@ def _compare(classes: DataFrame, dim: int, trees, threshold: float) -> tuple[Dat
         leaf, x0, y0 = int(pdf["leaf"].iloc[0]), int(pdf["px"].iloc[0]), int(pdf["py"].iloc[0])
         ids, n = pdf["c"].to_numpy(), pdf["n"].to_numpy()
         v = np.stack(pdf["v"].to_numpy())
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        v = unit_rows(v)
         block = pdf["own_block"].to_numpy()
         # (row, leaf) of the leaves before this one that several rows here are in
         own = [np.asarray(o) for o in pdf["own"]]
