@@ -198,16 +198,28 @@ def _literal(text: str) -> str | None:
     return "".join(out)
 
 
+def _bars(text: str) -> list[int]:
+    """Places of the bars that no backslash stands before; escapes are read from the left."""
+    out, at = [], 0
+    while at < len(text):
+        if text[at] == "|":
+            out.append(at)
+        at += 2 if text[at] == "\\" else 1
+    return out
+
+
 def literal_set(pattern: str) -> list[str] | None:
     """The values of a pattern that is an alternation of literals, with or without one group."""
     m = re.fullmatch(r"\((?:\?:)?([^()]*)\)", pattern)
-    parts = [_literal(p) for p in re.split(r"(?<!\\)\|", m[1] if m else pattern)]
+    body = m[1] if m else pattern
+    edges = [-1, *_bars(body), len(body)]
+    parts = [_literal(body[a + 1 : b]) for a, b in zip(edges, edges[1:])]
     return None if any(p is None for p in parts) else list(dict.fromkeys(parts))
 
 
 def literal_prefix(pattern: str) -> tuple[str, str]:
     """(prefix, rest): every match starts with the literal prefix."""
-    if re.search(r"(?<!\\)\||\(\?[a-zA-Z-]*i", pattern):
+    if _bars(pattern) or re.search(r"\(\?[a-zA-Z-]*i", pattern):
         return "", pattern
     at = 0
     while at < len(pattern) and pattern[at] not in _META:

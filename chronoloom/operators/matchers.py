@@ -25,7 +25,7 @@ class Matcher:
     value: str
 
     def __str__(self) -> str:
-        column, quoted = LABEL_PREFIX + self.name, self.value.replace('"', '\\"')
+        column, quoted = LABEL_PREFIX + self.name, self.value.replace("\\", "\\\\").replace('"', '\\"')
         base = f'equal("{column}","{quoted}")' if self.kind in (EQUAL, NOT_EQUAL) else f"regex({column},{self.value})"
         return f"not({base})" if self.kind in (NOT_EQUAL, NOT_REGEX) else base
 

@@ -106,6 +106,8 @@ def number_series(series: DataFrame, options: ConvertOptions) -> DataFrame:
 def cut_chunks(samples: DataFrame, keys: list[str], per_chunk: int, tie: list[str]) -> DataFrame:
     """Adds chunk_no: a new chunk after ``per_chunk`` samples, and for histograms
     also where the bucket layout changes or a counter falls."""
+    if "v" in samples.columns:
+        tie = [*tie, "v"]  # equal times are cut in one order, whatever the partitioning
     base = Window.partitionBy(*keys).orderBy("t", *tie)
     if "hist" not in samples.columns:
         return samples.withColumn("chunk_no", F.floor((F.row_number().over(base) - 1) / per_chunk).cast("int"))
@@ -113,7 +115,8 @@ def cut_chunks(samples: DataFrame, keys: list[str], per_chunk: int, tie: list[st
     layout = F.struct(h["schema"], h["zero_threshold"], h["pos_spans"], h["neg_spans"], h["custom_values"])
     last, before = F.lag(layout).over(base), F.lag("hist").over(base)
     fell = (h["count"] < before["count"]) | (h["zero_count"] < before["zero_count"]) | (h["reset_hint"] == 1)
-    fell |= F.exists(F.arrays_zip(h["pos_buckets"].alias("a"), before["pos_buckets"].alias("b")), lambda z: z["b"] > z["a"])
+    for side in ("pos_buckets", "neg_buckets"):
+        fell |= F.coalesce(F.exists(F.arrays_zip(h[side].alias("a"), before[side].alias("b")), lambda z: z["b"] > z["a"]), F.lit(False))
     cut = before.isNotNull() & h.isNotNull() & (~last.eqNullSafe(layout) | F.coalesce(fell, F.lit(False)))
     runs = samples.withColumn("_cut", cut.cast("int"))
     runs = runs.withColumn("_run", F.sum("_cut").over(base.rowsBetween(Window.unboundedPreceding, 0)))

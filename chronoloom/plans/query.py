@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,27 @@ class SelectHints:
     projection_include: bool = False
 
 
+class MatchCache:
+    """The matched series of the last ``size`` queries; what falls out is unpersisted."""
+
+    def __init__(self, size: int = 16):
+        self.size, self._held = size, OrderedDict()
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+    def get(self, key: tuple) -> DataFrame | None:
+        if key in self._held:
+            self._held.move_to_end(key)
+        return self._held.get(key)
+
+    def put(self, key: tuple, rows: DataFrame) -> DataFrame:
+        self._held[key] = rows.persist()
+        while len(self._held) > self.size:
+            self._held.popitem(last=False)[1].unpersist()
+        return rows
+
+
 @dataclass(frozen=True)
 class QueryOptions:
     row_limit: LimitFunc = lambda: 0
@@ -36,8 +59,8 @@ class QueryOptions:
     #: Narrows the matched series before chunks are read.
     labels_filter: Callable[[DataFrame], DataFrame] | None = None
     honor_projection_hints: bool = False
-    #: Matched series are kept by shard set and matcher text if a dict is given.
-    cache: dict | None = None
+    #: Matched series are kept by store, range and matchers if a cache is given.
+    cache: MatchCache | None = None
 
 
 @dataclass
@@ -48,16 +71,14 @@ class Querier:
     options: QueryOptions = field(default_factory=QueryOptions)
 
     def _matched(self, matchers: tuple[Matcher, ...], mint: int, maxt: int) -> DataFrame:
-        key = (id(self.store), mint, maxt, tuple(map(str, matchers)))
+        key = (self.store.key, mint, maxt, matchers)
         cache = self.options.cache
-        if cache is not None and key in cache:
-            return cache[key]
+        if cache is not None and (kept := cache.get(key)) is not None:
+            return kept
         shards = self.store.find(mint, maxt).select("block", "shard")
         # one row per shard: a small table by design, left to Spark to broadcast
         rows = self.store.series.where(all_of(matchers, self.store.series.columns)).join(shards, ["block", "shard"], "left_semi")
-        if cache is not None:
-            cache[key] = rows = rows.persist()
-        return rows
+        return rows if cache is None else cache.put(key, rows)
 
     def select(self, *matchers: Matcher, hints: SelectHints | None = None, sort: bool = True) -> DataFrame:
         """One row per series: labels, l_* and its chunks in order.
@@ -87,7 +108,7 @@ class Querier:
                 reserve_bytes(data_left, joined, "n_bytes", DATA_BYTES)
             chunk = F.struct("block", "shard", "col_idx", "enc_order", "chunk_no", "enc", "min_t", "max_t", "n", "samples", "hist")
             out = joined.groupBy("labels").agg(*[F.first(col(c)).alias(c) for c in shown], F.array_sort(F.collect_list(chunk)).alias("chunks"))
-        if sort:
+        if sort or self._several_shards():
             out = projection.sort_by_labels(out)
         if hints and o.honor_projection_hints:
             out = projection.project_labels(out, hints.projection_labels, hints.projection_include)
@@ -96,22 +117,35 @@ class Querier:
                 o.series_callback(row)
         return out
 
+    def _several_shards(self) -> bool:
+        """Series of several shards are merged in label order, whether asked for or not."""
+        return self.store.find(self.mint, self.maxt).limit(2).count() > 1
+
     def _chunks(self, mint: int, maxt: int) -> DataFrame:
-        """Chunks that overlap the range; data columns outside it are pruned by partition."""
-        bounds = self.store.shard_meta.agg(
-            F.min(bucket_index_of(mint)).alias("lo"), F.max(bucket_index_of(maxt)).alias("hi")
-        ).first()
-        chunks = self.store.chunks
-        if bounds.lo is not None:
-            chunks = chunks.where(F.col("col_idx").between(bounds.lo, bounds.hi))
-        return chunks.where((F.col("min_t") <= maxt) & (F.col("max_t") >= mint))
+        """Chunks that overlap the range.
+
+        Every shard counts its data columns from its own start, so shards are
+        grouped by the columns they need, and each group is one condition on
+        the partition columns.
+        """
+        found = self.store.find(mint, maxt).select("block", "shard", bucket_index_of(mint).alias("lo"), bucket_index_of(maxt).alias("hi"))
+        wanted: dict[tuple[int, int], dict[str, set[int]]] = {}
+        for r in found.collect():  # one row per shard in the range
+            wanted.setdefault((r.lo, r.hi), {}).setdefault(r.block, set()).add(r.shard)
+        where = F.lit(False)
+        for (lo, hi), blocks in sorted(wanted.items()):
+            some = reduce(lambda a, b: a | b, ((F.col("block") == b) & F.col("shard").isin(sorted(s)) for b, s in sorted(blocks.items())))
+            where = where | (F.col("col_idx").between(lo, hi) & some)
+        return self.store.chunks.where(where).where((F.col("min_t") <= maxt) & (F.col("max_t") >= mint))
 
     def samples(self, *matchers: Matcher, trim: bool = True) -> DataFrame:
-        """Exploded samples (labels, l_*, t, v), by default within the range only."""
+        """Exploded samples (labels, l_*, t, v, hist), by default within the range only; ``hist`` is null for plain numbers."""
         rows = self.select(*matchers, sort=False)
         flat = rows.select(*[col(c) for c in rows.columns if c != "chunks"], F.explode("chunks").alias("c"))
-        flat = flat.select(*[col(c) for c in flat.columns if c != "c"], F.explode("c.samples").alias("s"))
-        flat = flat.select(*[col(c) for c in flat.columns if c != "s"], "s.t", "s.v")
+        # a chunk of histograms has them beside its samples, in the same order
+        both = F.transform("c.samples", lambda s, i: F.struct(s["t"].alias("t"), s["v"].alias("v"), F.get("c.hist", i).alias("hist")))
+        flat = flat.select(*[col(c) for c in flat.columns if c != "c"], F.explode(both).alias("s"))
+        flat = flat.select(*[col(c) for c in flat.columns if c != "s"], "s.t", "s.v", "s.hist")
         return flat.where(F.col("t").between(self.mint, self.maxt)) if trim else flat
 
     def label_names(self, *matchers: Matcher, limit: int = 0) -> DataFrame:

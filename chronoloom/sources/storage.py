@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ class Store:
     series: DataFrame
     chunks: DataFrame
     shard_meta: DataFrame
+    #: Tells this store from any other, also after it is gone.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def find(self, mint: int, maxt: int) -> DataFrame:
         """The shards that overlap a time range, ends included."""

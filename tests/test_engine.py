@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom import ConvertOptions, Querier, QueryOptions, Quota, ResourceExhausted, SelectHints, convert, eq, is_resource_exhausted, neq, nre, open_store, re, write_store
+from chronoloom import ConvertOptions, MatchCache, Querier, QueryOptions, Quota, ResourceExhausted, SelectHints, convert, eq, is_resource_exhausted, neq, nre, open_store, re, write_store
 from chronoloom.functions.hashing import stable_hash
 from chronoloom.model import bucket_count, bucket_index
 from chronoloom.operators import projection, row_ranges
@@ -170,7 +170,7 @@ def test_quotas_and_callbacks(store):
         run(series_callback=fail)
     assert run(labels_filter=lambda df: df.limit(0)).count() == 0
     assert run(labels_filter=lambda df: df.where("`l_random name .x` IS NULL")).count() == 40
-    cache = {}
+    cache = MatchCache()
     assert run(cache=cache).count() == run(cache=cache).count() == 60 and len(cache) == 1
     assert not is_resource_exhausted(ValueError("x"))
 
@@ -279,3 +279,37 @@ def test_entry_point_without_the_llm_folders(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_bars_behind_escaped_backslashes(spark):
+    from chronoloom.functions.regex import literal_set, matches
+
+    assert literal_set("a\\\\|b") == ["a\\", "b"] and literal_set("a\\|b") == ["a|b"]
+    samples = series_samples(spark, [("b", 0, 1.0), ("a\\", 0, 1.0), ("a|b", 0, 1.0)], ["x"])
+    from chronoloom.operators.matchers import all_of
+
+    for pattern in ("a\\\\|b", "a\\|b", "a\\\\|b.*"):
+        got = {r.l_x for r in samples.where(all_of([re("x", pattern)], samples.columns)).collect()}
+        assert got == {v for v in ("b", "a\\", "a|b") if matches(pattern, v)}, pattern
+
+
+def test_cache_tells_stores_apart_and_is_bounded(spark):
+    from chronoloom import MatchCache
+
+    cache, found = MatchCache(size=2), []
+    for rows in ([("a", 0, 1.0)], [], [("b", 0, 1.0), ("c", 0, 1.0)]):
+        store = in_memory(convert(series_samples(spark, rows, ["x"]), 0, 10))
+        found.append(Querier(store, 0, 10, QueryOptions(cache=cache)).select(hints=SelectHints(func="series")).count())
+        del store
+    assert found == [1, 0, 2] and len(cache) == 2
+
+
+def test_several_blocks_read_their_own_columns(spark):
+    rows = [("a", t * HOUR, float(t)) for t in range(30)]
+    blocks = [convert(series_samples(spark, rows, ["x"]), i * 10 * HOUR, (i + 1) * 10 * HOUR - 1, ConvertOptions(name=f"b{i}", column_duration=HOUR)) for i in range(3)]
+    q = Querier(in_memory(*blocks), 12 * HOUR, 13 * HOUR - 1)
+    plan = q._chunks(q.mint, q.maxt)._jdf.queryExecution().optimizedPlan().toString()
+    assert "b1" in plan and "b0" not in plan.split("Filter")[1].split("\n")[0] and "b2" not in plan.split("Filter")[1].split("\n")[0]
+    assert [r.t for r in q.samples().collect()] == [12 * HOUR]
+    both = Querier(in_memory(*blocks), 0, 30 * HOUR).select(sort=False).collect()
+    assert len(both) == 1 and len(both[0].chunks) == 30
