@@ -498,6 +498,49 @@ def test_mixing_targets_and_takes(spark):
     assert mixing.targets([("a", 10), (None, 10), ("b", 100)], (5, 2, 1), 1.5, 2.0) == {"a": 20.0, "b": 140.0, None: 20.0}
 
 
+def test_mixing_order_against_brute_force(spark):
+    """The selected documents are the first of the Pareto order, up to the boundary and what fills its gap."""
+    from pyspark.sql import functions as F
+
+    from chronoloom.llm import mixing
+    from chronoloom.llm.shared import unit_hash
+
+    rng = random.Random(6)
+    docs = frame(spark, [" ".join("w" * rng.choice((1, 3, 10, 40))) for _ in range(400)], source=["s", "t"] * 200)
+    rows = mixing.mix(docs, weights=(1, 4), share=0.6).collect()
+    u = {r.doc_id: r.u for r in docs.select("doc_id", unit_hash(F.lit(7), F.col("doc_id")).alias("u")).collect()}
+    chances = set()
+    for s in (0, 1):
+        mine = [r for r in rows if r.doc_id % 2 == s]
+        rest = mine[0].target - (whole := int(mine[0].target // mine[0].source_size)) * mine[0].source_size
+        lo, hi = 0.0, 1e6  # c by bisection
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(1, c * math.sqrt(r.size)) * r.size for r in mine) < rest else (lo, c)
+        p = {r.doc_id: min(1 - 1e-12, max(1e-12, c * math.sqrt(r.size))) for r in mine}
+        chances |= set(p.values())
+        order = sorted(mine, key=lambda r: u[r.doc_id] / (1 - u[r.doc_id]) / (p[r.doc_id] / (1 - p[r.doc_id])))
+        extra, total = [r.copies - whole for r in order], 0
+        for k, r in enumerate(order):
+            if total + r.size > rest:
+                break
+            assert extra[k] == 1, k
+            total += r.size
+        assert sum(extra[k + 1 :]) <= 12 and abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+    assert len(chances) > 4  # unequal odds
+
+
+def test_mixing_repeated_rows(spark):
+    from chronoloom.llm import mixing
+
+    docs = frame(spark, ["a b c d e f g h i j"] * 1000, ids=[7] * 1000)
+    rows = mixing.mix(docs.repartition(5)).collect()
+    assert len(rows) == 1000 and rows[0].target == 15000 and sum(r.taken for r in rows) == 15000
+    assert sorted(r.taken for r in mixing.mix(docs.repartition(3)).collect()) == sorted(r.taken for r in rows)
+    clash = frame(spark, ["a b", None, "c " * 100_000], source=["x", None, "x"]).select("*", *[F.lit(1).alias(c) for c in ("size", "target", "taken", "copies", "_size", "_copy", "_keep_0")])
+    assert mixing.mixed_documents(clash).columns == clash.columns
+
+
 def test_mixing_edges(spark):
     from chronoloom.llm import mixing
 
