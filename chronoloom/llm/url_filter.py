@@ -119,7 +119,7 @@ def rule_choice(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 def filter_urls(
     pages: DataFrame, listed: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url"
 ) -> DataFrame:
-    """(id, host, path, rule, listed, verdict) for every row of ``pages``.
+    """(id, host, path, rule, verdict, listed) for every row of ``pages``.
 
     ``listed`` holds URLs, or ``host/path`` forms, to block.  ``listed`` in the
     result tells whether a form of the page's URL is in the list.
@@ -156,6 +156,6 @@ def filter_urls(
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         rule.alias("rule"),
-        is_listed.alias("listed"),
         F.coalesce(action, F.when(is_listed, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        is_listed.alias("listed"),
     )
