@@ -6,20 +6,24 @@ tables; the SQL says the same on the raw tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.hashing import series_hash
-from chronoloom.model import col, label_columns, labels_array
+from chronoloom.model import HISTOGRAM_TYPE, col, label_columns, labels_array
 from chronoloom.operators import projection, row_ranges
-from chronoloom.operators.matchers import Equal, Filter, Matcher, Not, all_of, eq, neq, nre, re
+from chronoloom.operators.limits import CHUNK_BYTES, DATA_BYTES, ROWS, ResourceExhausted
+from chronoloom.operators.matchers import Equal, Filter, Initialize, Matcher, Not, Regex, all_of, eq, neq, nre, re
+from chronoloom.operators.ranking import global_row_number
 from chronoloom.plans import vector
 from chronoloom.plans.convert import HOUR, ConvertOptions, convert, order_of_series, without_deleted
-from chronoloom.plans.query import Querier, SelectHints
+from chronoloom.plans.query import MatchCache, Querier, QueryOptions, SelectHints
 from chronoloom.sources import tables
-from chronoloom.sources.storage import in_memory
+from chronoloom.sources.scratch import settled, shared_folder
+from chronoloom.sources.storage import Store, in_memory, open_store, write_store
 
 MINT = 1_704_067_200_000  # 2024-01-01
 DAY = 24 * HOUR
@@ -107,11 +111,6 @@ def constraint_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Filter(_series(tables.events(spark, sf_dir)), Not(Equal("l_route", "/")), Equal("l_env", "prod"))
 
 
-@_query("label_filter_callback", f"WITH {_EV} SELECT * FROM series WHERE \"l___name__\" = 'click' AND length(l_user) <= 6")
-def label_filter_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matching(eq("__name__", "click"))(spark, sf_dir).where(F.length("l_user") <= 6)
-
-
 @_query("label_names_all", "SELECT unnest(['__name__', 'env', 'route', 'user']) AS name")
 def label_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.merge_sorted([projection.names_in_schema(tables.events(spark, sf_dir).columns, spark)])
@@ -221,10 +220,10 @@ def samples_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _querier(spark, sf_dir, _FROM, _TO).samples(eq("__name__", "click")).select("l___name__", "l_user", "t", "v")
 
 
-_SHARD_SQL = f"""WITH {_EV}, ranked AS (
-  SELECT "l___name__", l_user, row_number() OVER (ORDER BY {_ORDER}) - 1 AS r, count(*) OVER () AS u FROM series),
-sized AS (SELECT *, ceil(u / ceil(u / 250.0))::BIGINT AS size FROM ranked)
-SELECT "l___name__", l_user, (r // size)::INT AS shard, r % size AS row_no, ((r % size) // 50)::INT AS row_group, r + 1 AS series_id FROM sized"""
+_PLACED = f"""WITH {_EV}, ranked AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS r, count(*) OVER () AS u FROM series),
+sized AS (SELECT *, ceil(u / ceil(u / 250.0))::BIGINT AS size FROM ranked),
+placed AS (SELECT *, (r // size)::INT AS shard, r % size AS row_no, ((r % size) // 50)::INT AS row_group FROM sized)"""
+_SHARD_SQL = _PLACED + ' SELECT "l___name__", l_user, shard, row_no, row_group, r + 1 AS series_id FROM placed'
 
 
 @_query("shard_assignment", _SHARD_SQL)
@@ -237,8 +236,6 @@ def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     f'WITH {_EV} SELECT "l___name__", l_user, row_number() OVER (ORDER BY l_env, {_ORDER}) AS place FROM series',
 )
 def series_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chronoloom.operators.ranking import global_row_number
-
     series = _series(tables.events(spark, sf_dir)).withColumn("labels", labels_array(_LABELS))
     return global_row_number(series, order_of_series(series, ["env", "__name__"]), "place").select("l___name__", "l_user", "place")
 
@@ -293,30 +290,36 @@ def shards_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_memory(*weeks).find(MINT + 10 * DAY, MINT + 14 * DAY).select("block", "shard", "min_t")
 
 
-@_query(
-    "row_ranges",
-    f"""WITH {_EV}, ranked AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS r FROM series),
-hit AS (SELECT r, r - row_number() OVER (ORDER BY r) AS g FROM ranked WHERE {_R} <> '/')
-SELECT min(r) AS start, count(*) AS count FROM hit GROUP BY g""",
-)
+_BY = ("shard", "row_group")
+
+
+def _islands(where: str) -> str:
+    """SQL of the runs of rows that fulfil ``where``."""
+    return f"""SELECT shard, row_group, min(row_no) AS start, count(*) AS count FROM (
+  SELECT *, row_no - row_number() OVER (PARTITION BY shard, row_group ORDER BY row_no) AS g FROM placed WHERE {where}) GROUP BY shard, row_group, g"""
+
+
+def _ranges(series: DataFrame, *matchers: Matcher) -> DataFrame:
+    return row_ranges.ranges_of_rows(series.where(all_of(matchers, series.columns)), "row_no", _BY)
+
+
+@_query("row_ranges", f"{_PLACED} {_islands(_R + " <> '/'")}")
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = _converted(spark, sf_dir).series
-    return row_ranges.ranges_of_rows(series.where(all_of([neq("route", "/")], series.columns)), "row_no")
+    return _ranges(_converted(spark, sf_dir, SHARDED).series, neq("route", "/"))
 
 
 @_query(
     "row_ranges_algebra",
-    f"""WITH {_EV}, ranked AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS r FROM series),
-hit AS (SELECT r, r - row_number() OVER (ORDER BY r) AS g FROM ranked WHERE l_env = 'prod' AND {_R} <> '/')
-SELECT 'both' AS op, min(r) AS start, count(*) AS count FROM hit GROUP BY g
-UNION ALL SELECT 'minus', min(r), count(*) FROM (SELECT r, r - row_number() OVER (ORDER BY r) AS g FROM ranked WHERE l_env = 'prod' AND {_R} = '/') GROUP BY g""",
+    f"""{_PLACED} SELECT 'both' AS op, * FROM ({_islands(f"l_env = 'prod' AND {_R} <> '/'")})
+UNION ALL SELECT 'minus', * FROM ({_islands(f"l_env = 'prod' AND {_R} = '/'")})
+UNION ALL SELECT 'overlap', shard, row_group, NULL, NULL FROM placed WHERE l_env = 'prod' AND {_R} <> '/' GROUP BY ALL""",
 )
 def ranges_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = _converted(spark, sf_dir).series
-    a = row_ranges.ranges_of_rows(series.where(all_of([eq("env", "prod")], series.columns)), "row_no")
-    b = row_ranges.ranges_of_rows(series.where(all_of([neq("route", "/")], series.columns)), "row_no")
-    both, minus = row_ranges.intersect(a, b), row_ranges.complement(a, b)
-    return both.select(F.lit("both").alias("op"), "start", "count").unionByName(minus.select(F.lit("minus").alias("op"), "start", "count"))
+    series = _converted(spark, sf_dir, SHARDED).series
+    a, b = _ranges(series, eq("env", "prod")), _ranges(series, neq("route", "/"))
+    both, minus, over = row_ranges.intersect(a, b, _BY), row_ranges.complement(a, b, _BY), row_ranges.overlaps(a, b, _BY)
+    named = [d.withColumn("op", F.lit(n)) for n, d in (("both", both), ("minus", minus), ("overlap", over))]
+    return named[0].unionByName(named[1]).unionByName(named[2], allowMissingColumns=True).select("op", *_BY, "start", "count")
 
 
 @_query(
@@ -331,6 +334,195 @@ def two_tables_one_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Querier(in_memory(li, od), 0, 100 * 365 * DAY).label_names()
 
 
+# Stores on files: written, reopened and read again.
+
+
+_STORED = SHARDED.with_(column_duration=DAY)
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, options: ConvertOptions = _STORED) -> Store:
+    """The events in two blocks of 15 days, each in shards: written once an application, opened by each query."""
+    key = (spark.sparkContext.applicationId, sf_dir, options)
+    if key not in _WRITTEN:
+        root, samples = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", tables.events(spark, sf_dir)
+        for name, lo, hi in (("early", MINT, MINT + 15 * DAY - 1), ("late", MINT + 15 * DAY, MAXT)):
+            write_store(convert(samples, lo, hi, options.with_(name=name)), root)
+        _WRITTEN[key] = root
+    return open_store(spark, _WRITTEN[key])
+
+
+_TWO = f"""two AS (
+  SELECT *, t >= {MINT + 15 * DAY} AS late FROM ev WHERE t BETWEEN {MINT} AND {MAXT}),
+placed AS (SELECT *, ((t - CASE WHEN late THEN {MINT + 15 * DAY} ELSE {MINT} END) // {_STORED.column_duration})::INT AS col_idx FROM two),
+numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY "l___name__", l_user, late, col_idx ORDER BY t, v) - 1) // {OPTIONS.samples_per_chunk} AS chunk_no FROM placed),
+chunks AS (
+  SELECT "l___name__", l_user, l_env, l_route, late, col_idx, chunk_no, min(t) AS min_t, max(t) AS max_t, count(*) AS n FROM numbered GROUP BY ALL)"""
+
+
+def _chunk_counts(rows: DataFrame) -> DataFrame:
+    n = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+    return rows.select("l___name__", "l_user", F.size("chunks").cast("long").alias("n_chunks"), n.alias("n_samples"))
+
+
+def _chunk_counts_sql(where: str) -> str:
+    return f"""WITH {_EV}, {_TWO} SELECT "l___name__", l_user, count(*) AS n_chunks, sum(n)::BIGINT AS n_samples FROM chunks WHERE {where} GROUP BY ALL"""
+
+
+@_query("store_select", _chunk_counts_sql("l_env = 'prod'"))
+def store_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_counts(Querier(_stored(spark, sf_dir), MINT, MAXT).select(eq("env", "prod")))
+
+
+@_query("store_time_pruned", _chunk_counts_sql(f"min_t <= {_TO} AND max_t >= {_FROM}"))
+def store_time_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_counts(Querier(_stored(spark, sf_dir), _FROM, _TO).select())
+
+
+@_query("hint_range", _chunk_counts_sql(f"min_t <= {_TO} AND max_t >= {_FROM} AND \"l___name__\" = 'click'"))
+def hint_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range of the hints, not of the querier, chooses the chunks."""
+    return _chunk_counts(Querier(_stored(spark, sf_dir), MINT, MAXT).select(eq("__name__", "click"), hints=SelectHints(start=_FROM, end=_TO)))
+
+
+@_query("store_samples", f"WITH {_EV} SELECT \"l___name__\", l_user, t, v FROM ev WHERE {_R} = '/r2' AND t BETWEEN {_FROM} AND {MINT + 20 * DAY}")
+def store_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    querier = Querier(_stored(spark, sf_dir), _FROM, MINT + 20 * DAY)
+    return querier.samples(eq("route", "/r2")).select("l___name__", "l_user", "t", "v")
+
+
+@_query("store_compressed", _chunk_counts_sql("true"))
+def store_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other codecs and Bloom filters on two labels change files, not results."""
+    options = _STORED.with_(labels_compression="gzip", chunks_compression="snappy", bloom_labels=("__name__", "user"))
+    return _chunk_counts(Querier(_stored(spark, sf_dir, options), MINT, MAXT).select())
+
+
+@_query("store_label_values", f"WITH {_EV} SELECT DISTINCT l_user AS value FROM ev WHERE l_route = '/r1' AND t BETWEEN {MINT + 15 * DAY} AND {MAXT}")
+def store_label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Querier(_stored(spark, sf_dir), MINT + 16 * DAY, MAXT).label_values("user", eq("route", "/r1"))
+
+
+@_query("store_label_names", f"WITH {_EV} SELECT unnest(['__name__', 'env', 'user']) AS name FROM (SELECT 1 WHERE EXISTS (SELECT 1 FROM series WHERE l_route IS NULL))")
+def store_label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Querier(_stored(spark, sf_dir), MINT, MAXT).label_names(eq("route", ""))
+
+
+@_query(
+    "store_shard",
+    f"""WITH {_EV}, late AS (SELECT DISTINCT "l___name__", l_user, l_env, l_route FROM ev WHERE t BETWEEN {MINT + 15 * DAY} AND {MAXT}),
+ranked AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS r, count(*) OVER () AS u FROM late)
+SELECT "l___name__", l_user, r AS row_no FROM ranked WHERE r < ceil(u / ceil(u / 250.0))""",
+)
+def store_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).shard("late", 0).series.select("l___name__", "l_user", "row_no")
+
+
+@_query("merge_lists", f"WITH {_EV} SELECT DISTINCT l_user AS value FROM ev WHERE {_R} = '/r1' OR \"l___name__\" = 'click' ORDER BY value LIMIT 40")
+def merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = tables.events(spark, sf_dir)
+    hit = [samples.where(all_of([m], samples.columns)) for m in (eq("route", "/r1"), eq("__name__", "click"))]
+    return projection.merge_sorted([projection.values_of(h, "user") for h in hit], 40)
+
+
+# Order, labels and options.
+
+
+@_query("labels_sorted", f'WITH {_EV} SELECT "l___name__", l_user, row_number() OVER (ORDER BY {_ORDER}) AS place FROM series')
+def labels_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each row in the sorted result."""
+    out = settled(_querier(spark, sf_dir, options=SHARDED).select(sort=True).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    return global_row_number(out.select("l___name__", "l_user", "_at"), [F.col("_at")], "place").drop("_at")
+
+
+@_query(
+    "assembled_labels",
+    f"""WITH {_EV} SELECT concat_ws(',', '__name__=' || "l___name__", 'env=' || l_env, 'route=' || l_route, 'user=' || l_user) AS labels FROM series""",
+)
+def assembled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _querier(spark, sf_dir).select(hints=SelectHints(func="series"))
+    return rows.select(F.array_join(F.transform("labels", lambda p: F.concat_ws("=", p["name"], p["value"])), ",").alias("labels"))
+
+
+@_query("label_filter_callback", f"WITH {_EV} SELECT * FROM series WHERE \"l___name__\" = 'click' AND length(l_user) <= 6")
+def label_filter_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = QueryOptions(labels_filter=lambda found: found.where(F.length("l_user") <= 6))
+    return Querier(in_memory(_converted(spark, sf_dir)), MINT, MAXT, options).select(eq("__name__", "click")).select(*_LABELS)
+
+
+_QUOTAS = {"row_limit": (ROWS, [3, 100_000_000]), "chunk_bytes_limit": (CHUNK_BYTES, [64, 1 << 50]), "data_bytes_limit": (DATA_BYTES, [64, 1 << 50])}
+
+
+@_query(
+    "quotas",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{o}', {n}::BIGINT, {f"'{message}'" if n < 100 else 'NULL'})" for o, (message, ns) in _QUOTAS.items() for n in ns)
+    + ") v(quota, given, error) WHERE EXISTS (SELECT 1 FROM events)",
+)
+def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small and large limits of each kind, and the error that each one ends with."""
+    store, seen = in_memory(_converted(spark, sf_dir)), []
+    for option, (_, limits) in _QUOTAS.items():
+        for n in limits:
+            error = None
+            try:
+                Querier(store, MINT, MAXT, QueryOptions(**{option: lambda n=n: n})).select(eq("__name__", "click"))
+            except ResourceExhausted as e:
+                error = str(e)
+            seen.append((option, n, error))
+    return spark.createDataFrame(seen, "quota string, given long, error string")
+
+
+@_query(
+    "cached_matches",
+    f"WITH {_EV} SELECT 'warm' AS run, * FROM series WHERE l_env = 'prod' UNION ALL SELECT 'cold', * FROM series WHERE l_env = 'prod'",
+)
+def cached_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    querier = Querier(in_memory(_converted(spark, sf_dir)), MINT, MAXT, QueryOptions(cache=MatchCache(2)))
+    cold, warm = [querier.select(eq("env", "prod"), hints=SelectHints(func="series")).select(F.lit(n).alias("run"), *_LABELS) for n in ("cold", "warm")]
+    return cold.unionByName(warm)
+
+
+@_query("constraint_regex", f"WITH {_EV} SELECT * FROM series WHERE regexp_full_match({_R}, '(?s:/r[1-3]|/)') AND l_env = 'prod'")
+def constraint_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = _series(tables.events(spark, sf_dir))
+    found = [Regex("l_route", re("route", "/r[1-3]|/")), Equal("l_env", "prod")]
+    Initialize(series, *found)
+    return Filter(series, *found)
+
+
+# Histograms: the value is the count; the layout changes every ten days.
+
+
+def _histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = tables.events(spark, sf_dir).where("l___name__ = 'click'")
+    schema = F.floor((F.col("t") - MINT) / (10 * DAY)).cast("int")
+    fields = {"schema": schema, "count": F.col("v"), "sum": F.col("v")}
+    hist = F.from_json(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])), HISTOGRAM_TYPE)
+    is_hist = F.col("l_env") == "prod"
+    return samples.withColumn("hist", F.when(is_hist, hist)).withColumn("enc", F.when(is_hist, "histogram").otherwise("XOR"))
+
+
+@_query(
+    "hist_chunks",
+    f"""WITH {_EV}, h AS (
+  SELECT l_user, CASE WHEN l_env = 'prod' THEN 'histogram' ELSE 'XOR' END AS enc, CASE WHEN l_env = 'prod' THEN 1 ELSE 0 END AS enc_order,
+    t, v, (t - {MINT}) // {10 * DAY} AS layout, l_env = 'prod' AS is_hist FROM ev WHERE "l___name__" = 'click' AND t BETWEEN {MINT} AND {MAXT}),
+c AS (SELECT *, CASE WHEN is_hist AND (lag(layout) OVER w <> layout OR v < lag(v) OVER w) THEN 1 ELSE 0 END AS cut FROM h WINDOW w AS (PARTITION BY l_user ORDER BY t, v)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY l_user ORDER BY t, v ROWS UNBOUNDED PRECEDING) AS run FROM c),
+p AS (SELECT *, (row_number() OVER (PARTITION BY l_user, run ORDER BY t, v) - 1) // 2 AS part FROM r),
+n AS (SELECT *, dense_rank() OVER (PARTITION BY l_user ORDER BY run, part) - 1 AS chunk_no FROM p)
+SELECT l_user, enc, enc_order, chunk_no::INT AS chunk_no, min(t) AS min_t, max(t) AS max_t, count(*)::INT AS n,
+  CASE WHEN is_hist THEN round(sum(v), 4) END AS total FROM n GROUP BY l_user, enc, enc_order, is_hist, chunk_no""",
+)
+def hist_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = convert(_histograms(spark, sf_dir), MINT, MAXT, OPTIONS.with_(column_duration=100 * DAY))
+    total = F.round(F.aggregate("hist", F.lit(0.0), lambda a, h: a + h["count"]), 4)
+    joined = c.chunks.join(c.series.select("block", "shard", "series_id", "l_user"), ["block", "shard", "series_id"])
+    return joined.select("l_user", "enc", "enc_order", "chunk_no", "min_t", "max_t", "n", total.alias("total"))
+
+
 # Beyond the reference: a small layer over samples.
 
 _AT = MINT + 15 * DAY

@@ -28,33 +28,40 @@ def simplify(ranges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return merged.agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("count")) - F.min("start")).alias("count")).drop("_run")
 
 
-def intersect(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Common parts of two lists of simplified ranges."""
-    right = b.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("start").alias("_s"), F.col("count").alias("_n"))
-    lo, hi = F.greatest("start", "_s"), F.least(F.col("start") + F.col("count"), F.col("_s") + F.col("_n"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or [F.lit(True)]
-    cond = same[0]
-    for s in same[1:]:
-        cond &= s
-    joined = a.join(right, cond & (F.col("start") < F.col("_s") + F.col("_n")) & (F.col("_s") < F.col("start") + F.col("count")))
-    return simplify(joined.select(*by, lo.alias("start"), (hi - lo).alias("count")), by)
+def _sweep(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Parts between neighbouring ends: (by..., start, count, in_a, in_b).
 
+    One pass over the sorted ends, so work grows with the ranges, not with their pairs.
+    """
 
-def complement(base: DataFrame, holes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """What of ``base`` is in no range of ``holes``: a sweep over the ends."""
-    def ends(df: DataFrame, weight: int) -> DataFrame:
-        hi = F.col("start") + F.col("count")
-        return df.where("count > 0").select(
-            *by, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(weight).alias("w")), F.struct(hi.alias("at"), F.lit(-weight).alias("w")))).alias("e")
+    def ends(df: DataFrame, name: str) -> DataFrame:
+        both = F.array(
+            F.struct(F.col("start").alias("at"), F.lit(1).alias("w")),
+            F.struct((F.col("start") + F.col("count")).alias("at"), F.lit(-1).alias("w")),
         )
+        e = df.where("count > 0").select(*by, F.explode(both).alias("e"))
+        return e.select(*by, "e.at", *[(F.col("e.w") if n == name else F.lit(0)).alias(n) for n in ("a", "b")])
 
-    big = 1 << 20  # base ranges count 1 each, holes 2 ** 20 each
-    events = ends(base, 1).unionByName(ends(holes, big)).groupBy(*by, F.col("e.at").alias("at")).agg(F.sum("e.w").alias("w"))
+    events = ends(a, "a").unionByName(ends(b, "b")).groupBy(*by, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     order = Window.partitionBy(*by).orderBy("at")
-    level = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    parts = events.withColumn("level", level).withColumn("to", F.lead("at").over(order))
-    free = parts.where((F.col("level") > 0) & (F.col("level") < big) & F.col("to").isNotNull())
-    return simplify(free.select(*by, F.col("at").alias("start"), (F.col("to") - F.col("at")).alias("count")), by)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    parts = events.select(*by, "at", F.lead("at").over(order).alias("to"), *[(F.sum(n).over(upto) > 0).alias(f"in_{n}") for n in ("a", "b")])
+    return parts.where("to IS NOT NULL").select(*by, F.col("at").alias("start"), (F.col("to") - F.col("at")).alias("count"), "in_a", "in_b")
+
+
+def intersect(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Common parts of two lists of ranges."""
+    return simplify(_sweep(a, b, by).where("in_a AND in_b").drop("in_a", "in_b"), by)
+
+
+def overlaps(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The groups ``by`` in which some row lies in both lists."""
+    return _sweep(a, b, by).where("in_a AND in_b").select(*by).distinct()
+
+
+def complement(base: DataFrame, holes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What of ``base`` is in no range of ``holes``."""
+    return simplify(_sweep(base, holes, by).where("in_a AND NOT in_b").drop("in_a", "in_b"), by)
 
 
 def partition_ranges(ranges: DataFrame, max_gap: int, by: tuple[str, ...] = ()) -> DataFrame:
