@@ -105,8 +105,8 @@ def _set_hash(text: Column, k: int) -> Column:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens per bit; the number of bits is a power of two from 4 n up."""
-    bits = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    """Parity of the tokens per bit; the number of bits is a power of two from n up."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
     counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
