@@ -293,6 +293,42 @@ def test_lines_of_common_words_meet_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(brute_lines(texts)))
 
 
+def test_near_lines_with_rare_words_of_their_own_are_settled_by_leads(spark, monkeypatch):
+    from chronoloom.llm import line_dedup
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(300):  # most begin, by rarity, with words that few others have
+        line = [w for w in base if rng.random() > 0.03]
+        texts.append(" ".join([*line, *(f"rare{rng.randrange(300)}" for _ in range(rng.randint(0, 6)))]))
+    met = []
+    index_pairs = line_dedup.index_pairs
+
+    def counted(*args):
+        pairs = index_pairs(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "index_pairs", counted)
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(frame(spark, texts), num=75).collect()}
+    sets = [set(t.split(" ")) for t in texts]
+    gone = {j for j, y in enumerate(sets) if any(len(x & y) * 100 >= 75 * len(x | y) for x in sets[:j])}
+    assert got == {j: "" if j in gone else t for j, t in enumerate(texts)} and len(gone) > 250
+    assert met[0] < 10 * len(texts)
+
+
+def test_rarity_of_a_sample_loses_no_line(spark, monkeypatch):
+    from chronoloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "RARITY_DOCS", 10)
+    rng = random.Random(7)
+    pool = [rng.sample([f"w{i}" for i in range(70)], rng.randint(1, 30)) for _ in range(30)]
+    texts = ["\n".join(" ".join(w if rng.random() > 0.06 else "w7" for w in rng.choice(pool)) for _ in range(3)) for _ in range(80)]
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_lines(texts)))
+
+
 def test_line_edges(spark):
     from chronoloom.llm import line_dedup
 
