@@ -40,6 +40,8 @@ WINDOW, END_ID = 2048, 1
 SALTS = 1 << 10
 #: Entries of a worker's word cache.
 CACHE_WORDS = 600_000
+#: Words missing from it that are encoded as one text.
+JOINED_WORDS = 500
 
 
 #: White space other than a blank or a line end.
@@ -52,7 +54,8 @@ class WordTokenizer:
     The tokenizer's pattern never joins what stands before a single blank with
     what follows it, if both neighbours are no white space.  Texts in which
     all blanks stand so are encoded word by word, each word with its blank in
-    front; single line ends between such words are tokens of their own.  Any
+    front; single line ends between such words are tokens of their own, which
+    also lets words that are not in the cache be encoded many at once.  Any
     other text is encoded as a whole.
     """
 
@@ -73,6 +76,22 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def words(self, words: list[str], blank: str) -> list[bytes]:
+        """Ids of single words with ``blank`` in front, joined by line ends and encoded at once, as a call for each costs more than its ids."""
+        single = [w for w in words if "\n" not in w]
+        ids = np.frombuffer(self.whole(["\n".join([blank + w for w in single])])[0], dtype="<u4") if single else np.empty(0, dtype="<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(self.line_end, dtype="<u4")[0]).tolist()
+        if len(ends) != max(len(single) - 1, 0):
+            return self.whole([blank + w for w in words])
+        data = ids.tobytes()
+        cut = [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
+        if len(single) == len(words):
+            return cut
+        found = dict(zip(single, cut))
+        rest = [w for w in words if "\n" in w]
+        found.update(zip(rest, self.whole([blank + w for w in rest])))
+        return [found[w] for w in words]
+
     def by_words(self, text: str) -> bool:
         if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
             return False
@@ -92,9 +111,9 @@ class WordTokenizer:
         lines = [ws for text in split.values() for ws in text]
         for cache, wanted, blank in ((self.cache, {w for ws in lines for w in ws[1:]}, " "), (self.firsts, {ws[0] for ws in lines}, "")):
             new = list(wanted.difference(cache))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                cache.update(zip(part, self.whole([blank + w for w in part])))
+            for at in range(0, len(new), JOINED_WORDS):
+                part = new[at : at + JOINED_WORDS]
+                cache.update(zip(part, self.words(part, blank)))
         out = [b""] * len(texts)
         for i, text in split.items():
             out[i] = self.line_end.join([self.firsts[ws[0]] + b"".join([self.cache[w] for w in ws[1:]]) for ws in text])

@@ -748,3 +748,17 @@ def test_word_tokenizer_equals_whole_texts():
             assert tok.encode([text]) == tok.whole([text])
 
     same()
+
+
+def test_missing_words_are_encoded_together(monkeypatch):
+    from chronoloom.llm import queries
+    from chronoloom.llm.packing import WordTokenizer
+
+    tok = WordTokenizer(queries.tokenizer_path())
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcñé日1'.,-!") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(words[:2000]), "\n".join(words[1000:]), "a\n\nb" + " c".join(words[:50]) + " d\n\n\ne f"]
+    want, calls, whole = tok.whole(texts), [], tok.whole
+    monkeypatch.setattr(tok, "whole", lambda x: [calls.extend(x), whole(x)][1])
+    assert tok.encode(texts) == want
+    assert len(calls) < 100
