@@ -12,21 +12,28 @@ from chronoloom.model import LABEL_PREFIX
 from chronoloom.plans.convert import Converted
 
 
+#: Consecutive series whose rows share a file; shards may be far smaller.
+FILE_SERIES = 1 << 15
+
+
 def write_store(converted: Converted, root: str, mode: str = "append") -> None:
-    """``root``/{series,chunks,shard_meta}, partitioned by block and shard.
+    """``root``/{series,chunks,shard_meta}, partitioned by block, the chunks also by data column.
 
-    The chunks are also partitioned by data column; within files rows are in
-    series order, so that statistics of the files are tight.
+    Shards and row groups are columns, not folders or files of their own: they
+    may hold a few series only, and files would be as many as they are.  Rows
+    are in series order, within files and over them, so that a shard, too, is
+    found by statistics of files and pages.
     """
     o = converted.options
-    series = converted.series.repartition("block", "shard", "row_group").sortWithinPartitions("block", "shard", "row_no")
-    writer = series.write.mode(mode).option("compression", o.labels_compression).option("maxRecordsPerFile", o.row_group_size)
+    run = F.floor((F.col("series_id") - 1) / FILE_SERIES)
+    series = converted.series.repartition("block", run).sortWithinPartitions("block", "series_id")
+    writer = series.write.mode(mode).option("compression", o.labels_compression).option("maxRecordsPerFile", FILE_SERIES)
     for name in o.bloom_labels:
         writer = writer.option(f"parquet.bloom.filter.enabled#{LABEL_PREFIX}{name}", "true")
-    writer.partitionBy("block", "shard").parquet(f"{root}/series")
-    chunks = converted.chunks.repartition("block", "shard", "col_idx", (F.col("series_id") / o.row_group_size).cast("long"))
-    chunks = chunks.sortWithinPartitions("block", "shard", "col_idx", "series_id", "enc_order", "chunk_no")
-    chunks.write.mode(mode).option("compression", o.chunks_compression).partitionBy("block", "shard", "col_idx").parquet(f"{root}/chunks")
+    writer.partitionBy("block").parquet(f"{root}/series")
+    chunks = converted.chunks.repartition("block", "col_idx", run)
+    chunks = chunks.sortWithinPartitions("block", "col_idx", "series_id", "enc_order", "chunk_no")
+    chunks.write.mode(mode).option("compression", o.chunks_compression).partitionBy("block", "col_idx").parquet(f"{root}/chunks")
     converted.shard_meta.coalesce(1).write.mode(mode).parquet(f"{root}/shard_meta")
 
 

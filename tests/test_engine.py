@@ -313,3 +313,24 @@ def test_several_blocks_read_their_own_columns(spark):
     assert [r.t for r in q.samples().collect()] == [12 * HOUR]
     both = Querier(in_memory(*blocks), 0, 30 * HOUR).select(sort=False).collect()
     assert len(both) == 1 and len(both[0].chunks) == 30
+
+
+def test_files_of_a_store_do_not_grow_with_its_shards(spark, tmp_path):
+    from pathlib import Path
+
+    options = ConvertOptions(name="b", column_duration=HOUR, row_groups=2, row_group_size=5, samples_per_chunk=2)
+    c = convert(grid(spark, 400, HOUR // 2, 4), 0, 2 * HOUR - 1, options)
+    write_store(c, str(tmp_path))
+    files = {n: list((tmp_path / n).rglob("*.parquet")) for n in ("series", "chunks")}
+    assert len(files["series"]) <= 8 and len(files["chunks"]) <= 16  # 40 shards; at most a file a task and folder
+    store = open_store(spark, str(tmp_path))
+    assert store.shard_meta.count() == 40 and store.shard("b", 39).series.count() == 10
+    assert store.shard("b", 7).chunks.select("series_id").distinct().count() == 10
+    plan = store.shard("b", 7).chunks._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(shard,7)" in plan.split("PushedFilters")[1].split("ReadSchema")[0]
+    for name, order in (("series", ["row_no"]), ("chunks", ["chunk_no"])):
+        for f in files[name]:  # statistics of pages are tight only if rows are in order
+            rows = [tuple(r) for r in spark.read.parquet(str(Path(f))).select("shard", "series_id", *order).collect()]
+            assert rows == sorted(rows)
+    got = Querier(store, 0, 2 * HOUR - 1).select(sort=False).collect()
+    assert len(got) == 400 and all([k.n for k in r.chunks] == [2, 2] for r in got)
