@@ -125,17 +125,17 @@ class Querier:
         """Chunks that overlap the range.
 
         Every shard counts its data columns from its own start, so shards are
-        grouped by the columns they need, and each group is one condition on
-        the partition columns.
+        grouped by the columns they need, and each run of neighbouring ones in
+        a group is one condition; those on block and column prune folders.
         """
         found = self.store.find(mint, maxt).select("block", "shard", bucket_index_of(mint).alias("lo"), bucket_index_of(maxt).alias("hi"))
-        wanted: dict[tuple[int, int], dict[str, set[int]]] = {}
+        wanted: dict[tuple[str, int, int], set[int]] = {}
         for r in found.collect():  # one row per shard in the range
-            wanted.setdefault((r.lo, r.hi), {}).setdefault(r.block, set()).add(r.shard)
+            wanted.setdefault((r.block, r.lo, r.hi), set()).add(r.shard)
         where = F.lit(False)
-        for (lo, hi), blocks in sorted(wanted.items()):
-            some = reduce(lambda a, b: a | b, ((F.col("block") == b) & F.col("shard").isin(sorted(s)) for b, s in sorted(blocks.items())))
-            where = where | (F.col("col_idx").between(lo, hi) & some)
+        for (block, lo, hi), shards in sorted(wanted.items()):
+            some = reduce(lambda a, b: a | b, (F.col("shard").between(*run) for run in runs_of(shards)))
+            where = where | ((F.col("block") == block) & F.col("col_idx").between(lo, hi) & some)
         return self.store.chunks.where(where).where((F.col("min_t") <= maxt) & (F.col("max_t") >= mint))
 
     def samples(self, *matchers: Matcher, trim: bool = True) -> DataFrame:
@@ -159,6 +159,17 @@ class Querier:
         return projection.merge_sorted([projection.values_of(self._matched(matchers, self.mint, self.maxt), name)], limit)
 
 
+def runs_of(numbers: set[int]) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive numbers."""
+    ends: list[list[int]] = []
+    for n in sorted(numbers):
+        if ends and n == ends[-1][1] + 1:
+            ends[-1][1] = n
+        else:
+            ends.append([n, n])
+    return [(a, b) for a, b in ends]
+
+
 def bucket_index_of(t: int):
     """Data column of a time in each shard's own buckets."""
     wide = F.greatest(F.lit(0), F.floor((F.lit(t) - F.col("min_t")) / F.col("col_duration_ms")))

@@ -334,3 +334,16 @@ def test_files_of_a_store_do_not_grow_with_its_shards(spark, tmp_path):
             assert rows == sorted(rows)
     got = Querier(store, 0, 2 * HOUR - 1).select(sort=False).collect()
     assert len(got) == 400 and all([k.n for k in r.chunks] == [2, 2] for r in got)
+
+
+def test_shards_are_asked_for_by_runs(spark):
+    from chronoloom.plans.query import runs_of
+
+    assert runs_of({5, 1, 2, 3, 7}) == [(1, 3), (5, 5), (7, 7)] and runs_of(set()) == []
+    c = convert(grid(spark, 400, HOUR, 1), 0, HOUR - 1, ConvertOptions(name="b", column_duration=HOUR, row_groups=1, row_group_size=10))
+    whole = in_memory(c)
+    size = lambda s: len(Querier(s, 0, HOUR - 1)._chunks(0, HOUR - 1)._jdf.queryExecution().logical().toString())
+    few = whole.shard("b", 0)
+    assert size(whole) < size(few) + 200
+    holes = Querier(type(whole)(whole.series, whole.chunks, whole.shard_meta.where("shard % 2 = 1")), 0, HOUR - 1)
+    assert sorted(r.shard for r in holes._chunks(0, HOUR - 1).select("shard").distinct().collect()) == list(range(1, 40, 2))
