@@ -762,3 +762,19 @@ def test_missing_words_are_encoded_together(monkeypatch):
     monkeypatch.setattr(tok, "whole", lambda x: [calls.extend(x), whole(x)][1])
     assert tok.encode(texts) == want
     assert len(calls) < 100
+
+
+def test_words_of_all_lines_are_counted(spark, monkeypatch):
+    from chronoloom.llm import line_dedup
+
+    shares = []
+    classes = line_dedup.rarity_classes
+
+    def seen(src, share=1):
+        shares.append((share, src.count()))
+        return classes(src, share)
+
+    monkeypatch.setattr(line_dedup, "rarity_classes", seen)
+    docs = spark.range(20_002).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), (F.col("id") % 20_001).cast("string")).alias("text"))
+    gone = line_dedup.later_matches(docs).collect()
+    assert [(r.d, r.pos) for r in gone] == [(20_001, 0)] and shares == [(1, 20_002)]
