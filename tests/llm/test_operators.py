@@ -778,3 +778,19 @@ def test_words_of_all_lines_are_counted(spark, monkeypatch):
     docs = spark.range(20_002).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), (F.col("id") % 20_001).cast("string")).alias("text"))
     gone = line_dedup.later_matches(docs).collect()
     assert [(r.d, r.pos) for r in gone] == [(20_001, 0)] and shares == [(1, 20_002)]
+
+
+def test_words_are_cut_and_hashed_once(spark, monkeypatch):
+    from chronoloom.llm import line_dedup
+
+    seen = {}
+    for name in ("rarity_classes", "line_facts"):
+        def noted(src, *rest, f=getattr(line_dedup, name), name=name):
+            seen[name] = src
+            return f(src, *rest)
+
+        monkeypatch.setattr(line_dedup, name, noted)
+    gone = line_dedup.later_matches(frame(spark, ["a b\nc d", "A  b\n\nc e", None, "x"])).collect()
+    assert [(r.d, r.pos) for r in gone] == [(1, 0)]
+    # neither the count of words nor the facts read a text; both read one table of hashes
+    assert seen["rarity_classes"] is seen["line_facts"] and seen["line_facts"].columns == ["d", "pos", "hs"]
