@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import small_batches, unit_hash
+from chronoloom.llm.shared import kept_in_worker, small_batches, unit_hash
 
 #: Documents sampled per language (about), and characters taken from each.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 600
@@ -139,7 +139,7 @@ def _told(docs: DataFrame, model: LanguageModel, text_col: str, keep: tuple[str,
     schema = ", ".join([f"{n} {src.schema[n].dataType.simpleString()}" for n in names] + ["l string, s double, m double, r boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(model)
+        score = kept_in_worker(model, lambda: _scorer(model))
         for b in batches:
             out = [score(t.as_py()) for t in b.column("t")]
             lang, s, m = (list(x) for x in zip(*out)) if out else ([], [], [])

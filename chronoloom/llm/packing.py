@@ -25,29 +25,63 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import durable, small_batches
+from chronoloom.llm.shared import durable, kept_in_worker, small_batches
 
 WINDOW, END_ID = 2048, 1
 #: Ranks are counted within this many salts per length (a power of two).
 SALTS = 1 << 10
-#: Entries of a worker's word cache.
-CACHE_WORDS = 600_000
+#: Words that each of the two halves of a worker's word cache is filled with.
+CACHE_WORDS = 200_000
 #: Words missing from it that are encoded as one text.
 JOINED_WORDS = 500
+#: Texts, and about as many characters of them, that are cut into words at once.
+CUT_TEXTS, CUT_CHARS = 200, 1 << 20
 
 
 #: White space other than a blank or a line end.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+class WordCache:
+    """Ids of words in two halves: a word that is met again moves to the younger one; if that is full, the older one is dropped.
+
+    So words that come again stay, and the many that come once don't fill the memory.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that are still to be put; the others are in ``young`` until the next call."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = wanted.difference(self.young)
+        known = new.intersection(self.old)
+        self.young.update(zip(known, map(self.old.__getitem__, known)))
+        return list(new - known)
+
+
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in order, few enough at once that their words take little memory."""
+    part, chars = [], 0
+    for t in texts:
+        if part and (len(part) >= CUT_TEXTS or chars + len(t) > CUT_CHARS):
+            yield part
+            part, chars = [], 0
+        part.append(t)
+        chars += len(t)
+    if part:
+        yield part
+
+
 class WordTokenizer:
     """Ids of whole texts through a bounded cache of words.
 
@@ -68,8 +102,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         # the names of special tokens in a text are these tokens, whatever stands beside them
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}  # of a word with a blank in front
-        self.firsts: dict[str, bytes] = {}  # of a word without one, at the start of a line
+        self.cache = WordCache(CACHE_WORDS)  # of a word with a blank in front
+        self.firsts = WordCache(CACHE_WORDS // 4)  # of a word without one, at the start of a line
         self.line_end = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -103,30 +137,26 @@ class WordTokenizer:
         return [text] if text[0] == "\n" or text[-1] == "\n" or "\n\n" in text else text.split("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache, most in ((self.cache, CACHE_WORDS), (self.firsts, CACHE_WORDS // 4)):
-            for word in list(islice(cache, len(cache) // 2)) if len(cache) > most else ():
-                del cache[word]  # the older half
         split = {i: [line.split(" ") for line in self.lines(t)] for i, t in enumerate(texts) if self.by_words(t)}
         rest = [i for i in range(len(texts)) if i not in split]
         lines = [ws for text in split.values() for ws in text]
         for cache, wanted, blank in ((self.cache, {w for ws in lines for w in ws[1:]}, " "), (self.firsts, {ws[0] for ws in lines}, "")):
-            new = list(wanted.difference(cache))
+            new = cache.missing(wanted)
             for at in range(0, len(new), JOINED_WORDS):
                 part = new[at : at + JOINED_WORDS]
-                cache.update(zip(part, self.words(part, blank)))
+                cache.young.update(zip(part, self.words(part, blank)))
         out = [b""] * len(texts)
+        firsts, cache = self.firsts.young, self.cache.young
         for i, text in split.items():
-            out[i] = self.line_end.join([self.firsts[ws[0]] + b"".join([self.cache[w] for w in ws[1:]]) for ws in text])
-        if rest:
-            for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
-                out[i] = ids
+            out[i] = self.line_end.join([firsts[ws[0]] + b"".join([cache[w] for w in ws[1:]]) for ws in text])
+        for i in rest:  # one at a time, as an encoding is many times as large as its ids
+            out[i] = self.whole([texts[i]])[0]
         return out
 
 
-@lru_cache(maxsize=1)
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer and word cache per Python worker, kept from task to task."""
-    return WordTokenizer(path)
+    """One tokenizer and word cache per Python worker, kept from task to task until another operator's tasks come."""
+    return kept_in_worker(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 _PIECE = "d long, start long, length long, crc long, total long"
@@ -142,14 +172,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int, id
         for b in batches:
             ids, out = b.column("d").to_pylist(), [[], [], [], [], []]
             texts = [t or "" for t in b.column("t").to_pylist()]
-            for at in range(0, len(texts), 200):
-                for k, data in enumerate(tok.encode(texts[at : at + 200])):
-                    data += end
-                    total = len(data) // 4
-                    for start in range(0, total, window):
-                        part = data[4 * start : 4 * (start + window)]
-                        for col, v in zip(out, (ids[at + k], start, len(part) // 4, zlib.crc32(part), total)):
-                            col.append(v)
+            for d, data in zip(ids, (x for part in portions(texts) for x in tok.encode(part))):
+                data += end
+                total = len(data) // 4
+                for start in range(0, total, window):
+                    part = data[4 * start : 4 * (start + window)]
+                    for col, v in zip(out, (d, start, len(part) // 4, zlib.crc32(part), total)):
+                        col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["d", "start", "length", "crc", "total"])
 
     return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, _PIECE)
