@@ -37,7 +37,7 @@ WINDOW, END_ID = 2048, 1
 #: Ranks are counted within this many salts per length (a power of two).
 SALTS = 1 << 10
 #: Words that each of the two halves of a worker's word cache is filled with.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 #: Words missing from it that are encoded as one text.
 JOINED_WORDS = 500
 #: Texts, and about as many characters of them, that are cut into words at once.
