@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import kept_in_worker, small_batches, unit_hash
+from chronoloom.llm.shared import giving_back, kept_in_worker, small_batches, unit_hash
 
 #: Documents sampled per language (about), and characters taken from each.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 600
@@ -148,7 +148,7 @@ def _told(docs: DataFrame, model: LanguageModel, text_col: str, keep: tuple[str,
             cols += [pa.array(lang, pa.string()), pa.array(s, pa.float64()), pa.array(m, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "l", "s", "m", "r"])
 
-    return src.mapInArrow(run, schema), names
+    return src.mapInArrow(giving_back(run), schema), names
 
 
 def keep_accepted(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -50,6 +50,7 @@ from chronoloom.llm.shared import (
     added_tables,
     components,
     durable,
+    giving_back,
     mix64,
     only_ids,
     small_batches,
@@ -203,7 +204,7 @@ def facts(src: DataFrame, k: int) -> DataFrame:
             for t in table_rows(sketch, SKETCH_BLOCK, FANOUT):
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), *t.columns], names=names)
 
-    return src.mapInArrow(run, _FACTS)
+    return src.mapInArrow(giving_back(run), _FACTS)
 
 
 def entries(src: DataFrame, k: int, counts, frequent: int, num: int, den: int) -> DataFrame:
@@ -237,7 +238,7 @@ def entries(src: DataFrame, k: int, counts, frequent: int, num: int, den: int) -
             if size:
                 yield flush()
 
-    return src.mapInArrow(run, "key long, salt long, salts long, d long, n long, pos long")
+    return src.mapInArrow(giving_back(run), "key long, salt long, salts long, d long, n long, pos long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
@@ -307,7 +308,7 @@ def led(index: DataFrame, num: int, den: int) -> DataFrame:
                 )
 
     dealt = index.repartition(tasks(index.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "n", "d")
-    return dealt.mapInArrow(run, "key long, d long, n long, pos long, lead long")
+    return dealt.mapInArrow(giving_back(run), "key long, d long, n long, pos long, lead long")
 
 
 #: Groups up to this size are compared pair by pair, larger ones by matrix rows.
@@ -393,7 +394,7 @@ def across(rows: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     dealt = live.repartition(tasks(live.sparkSession), "key", "px", "py").sortWithinPartitions("key", "px", "py", "n")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, info: DataFrame, src: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -414,7 +415,7 @@ def verified(pairs: DataFrame, info: DataFrame, src: DataFrame, k: int, num: int
         .join(one.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
         .select("a", "b", "na", "nb", "xa", "xb")
     )
-    left = durable(both.mapInArrow(bounded, "a long, b long").distinct(), "bounded")
+    left = durable(both.mapInArrow(giving_back(bounded), "a long, b long").distinct(), "bounded")
     ends = left.select("a", "b", F.explode(F.array("a", "b")).alias("d"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,8 +440,8 @@ def verified(pairs: DataFrame, info: DataFrame, src: DataFrame, k: int, num: int
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     texts = only_ids(src, "d", ends.select("d"))
-    dealt = ends.join(texts.mapInArrow(sets, "d long, s binary"), "d").repartition(tasks(src.sparkSession), "a", "b").sortWithinPartitions("a", "b", "d")
-    return durable(dealt.mapInArrow(exact, "a long, b long").distinct(), "similar")
+    dealt = ends.join(texts.mapInArrow(giving_back(sets), "d long, s binary"), "d").repartition(tasks(src.sparkSession), "a", "b").sortWithinPartitions("a", "b", "d")
+    return durable(dealt.mapInArrow(giving_back(exact), "a long, b long").distinct(), "similar")
 
 
 def jaccard_components(

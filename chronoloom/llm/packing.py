@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.shared import durable, kept_in_worker, small_batches
+from chronoloom.llm.shared import durable, give_back, giving_back, kept_in_worker, small_batches
 
 WINDOW, END_ID = 2048, 1
 #: Ranks are counted within this many salts per length (a power of two).
@@ -58,7 +58,7 @@ class WordTokenizer:
     other text is encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,6 +69,7 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}  # of a word with a blank in front
         self.firsts: dict[str, bytes] = {}  # of a word without one, at the start of a line
+        self.cache_words = cache_words or CACHE_WORDS
         self.line_end = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -102,7 +103,7 @@ class WordTokenizer:
         return [text] if text[0] == "\n" or text[-1] == "\n" or "\n\n" in text else text.split("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache, most in ((self.cache, CACHE_WORDS), (self.firsts, CACHE_WORDS // 4)):
+        for cache, most in ((self.cache, self.cache_words), (self.firsts, self.cache_words // 4)):
             for word in list(islice(cache, len(cache) // 2)) if len(cache) > most else ():
                 del cache[word]  # the older half
         split = {i: [line.split(" ") for line in self.lines(t)] for i, t in enumerate(texts) if self.by_words(t)}
@@ -122,21 +123,21 @@ class WordTokenizer:
         return out
 
 
-def worker_tokenizer(path: str) -> WordTokenizer:
+def worker_tokenizer(path: str, cache_words: int | None = None) -> WordTokenizer:
     """One tokenizer and word cache per Python worker, kept from task to task until another operator's tasks come."""
-    return kept_in_worker(("tokenizer", path), lambda: WordTokenizer(path))
+    return kept_in_worker(("tokenizer", path, cache_words), lambda: WordTokenizer(path, cache_words))
 
 
 _PIECE = "d long, start long, length long, crc long, total long"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int, id_col: str, text_col: str, cache_words: int | None = None) -> DataFrame:
     """(d, start, length, crc, total) for each piece of each document."""
     small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = worker_tokenizer(tokenizer_path)
+        tok = worker_tokenizer(tokenizer_path, cache_words)
         for b in batches:
             ids, out = b.column("d").to_pylist(), [[], [], [], [], []]
             texts = [t or "" for t in b.column("t").to_pylist()]
@@ -149,8 +150,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int, id
                         for col, v in zip(out, (ids[at + k], start, len(part) // 4, zlib.crc32(part), total)):
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["d", "start", "length", "crc", "total"])
+            if cache_words:  # memory is short
+                give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, _PIECE)
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(giving_back(run), _PIECE)
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -206,10 +209,15 @@ def pack(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cache_words: int | None = None,
 ) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece."""
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) per piece.
+
+    Fewer ``cache_words`` (CACHE_WORDS if not given) take less memory of each
+    worker and more time; the ids are the same.
+    """
     spark = docs.sparkSession
-    cut = durable(pieces(docs, tokenizer_path, window=window, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
+    cut = durable(pieces(docs, tokenizer_path, window=window, end_id=end_id, id_col=id_col, text_col=text_col, cache_words=cache_words), "pieces")
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("d", "start", "crc"), F.lit(SALTS)).cast("int"))
     per_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     # one row per length and salt at most; each length's window has SALTS rows

@@ -823,3 +823,30 @@ def test_lines_at_home_are_indexed_by_what_their_stratum_needs(spark):
         assert least <= home[n] <= least + 1, n
         assert visits[n] in ((0,) if here == partners else (n - -(-80 * n // 100) + 1,)), n
     assert sum(home.values()) < sum(len(r[5]) for r in rows)
+
+
+def test_a_small_word_cache_gives_the_same_ids():
+    from chronoloom.llm import packing, queries
+
+    path = queries.tokenizer_path()
+    small, large = packing.WordTokenizer(path, 20), packing.WordTokenizer(path)
+    for lot in range(6):
+        texts = [f"word{lot}{k} and w{k * lot} more\nof line{k}  x{lot}" if k % 5 == 0 else f"word{lot}{k} and w{k * lot} more\nof line{k}" for k in range(40)]
+        assert small.encode(texts) == large.encode(texts)
+    # what the last texts needed comes on top of half a cache
+    assert len(small.cache) < len(large.cache)
+
+
+def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
+    from chronoloom.llm import shared
+
+    done = []
+    monkeypatch.setattr(shared, "give_back", lambda: done.append(1))
+    task = shared.giving_back(lambda batches: (2 * b for b in batches))
+    rows = task(iter([1, 2]))
+    assert next(rows) == 2 and not done
+    assert list(rows) == [4] and done == [1]
+    rows = task(iter([1, 2]))
+    next(rows)
+    rows.close()  # a limit ends a task early
+    assert done == [1, 1]
