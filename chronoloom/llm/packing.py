@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +42,50 @@ SALTS = 1 << 10
 #: Entries of a worker's word cache.
 CACHE_WORDS = 600_000
 #: Words missing from it that are encoded as one text.
-JOINED_WORDS = 500
-
-
-#: White space other than a blank or a line end.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+JOINED_WORDS = 2000
+#: Segments looked up at once, and bytes of texts encoded at once (one text at least).
+BLOCK, PORTION = 1 << 18, 1 << 20
+
+#: UTF-8 of white space of two and three bytes, as numbers.
+_WIDE_SPACE = np.array([int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+#: By byte: 1 for ASCII letters and digits, 2 for ASCII punctuation but the apostrophe, which may belong to what follows or stands before.
+_KIND = np.array([1 if chr(c).isalnum() and c < 128 else 2 if 32 < c < 127 and c != 39 else 0 for c in range(256)], dtype=np.uint8)
+#: One run of letters that any version of Unicode calls so.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba]+")
+#: ByteLevel's characters for bytes that are not printed as themselves.
+_BYTE_CHARS = {c: 256 + i for i, c in enumerate(c for c in range(256) if not (33 <= c < 127 or 161 <= c < 173 or 174 <= c))}
+
+
+def segment_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 ``data`` in front of which the tokenizer's pattern always ends a match and looks no further.
+
+    These are the starts of texts (``texts``, offsets), of runs of white space
+    that start with a blank or line end, and of punctuation behind an ASCII
+    letter or digit.
+    """
+    is_start = (data == 0x20) | (data == 0x0A)
+    is_start[1:] &= data[:-1] > 0x20
+    at = np.flatnonzero(is_start)
+    at = at[data[at - 1] >= 0x80]
+    two = data[at - 2].astype(np.int64) << 8 | data[at - 1]
+    is_start[at[np.isin(two, _WIDE_SPACE) | np.isin(data[at - 3].astype(np.int64) << 16 | two, _WIDE_SPACE)]] = False
+    kind = _KIND[data]
+    is_start[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+    is_start[texts[texts < len(data)]] = True
+    return np.flatnonzero(is_start)
 
 
 class WordTokenizer:
     """Ids of whole texts through a bounded cache of words.
 
-    The tokenizer's pattern never joins what stands before a single blank with
-    what follows it, if both neighbours are no white space.  Texts in which
-    all blanks stand so are encoded word by word, each word with its blank in
-    front; single line ends between such words are tokens of their own, which
-    also lets words that are not in the cache be encoded many at once.  Any
-    other text is encoded as a whole.
+    Texts are cut where the tokenizer's pattern always ends a match and looks
+    no further: in front of white space, and of punctuation behind a letter.
+    Each segment, mostly a word with its blank, has ids of its own.  Segments
+    are cut and numbered by array operations; only the different ones of a
+    block are looked up.  Of those that are not in the cache, runs of letters
+    go to the tokenizer's model, as they are one match; others are joined by
+    line ends, which are tokens of their own between words, and encoded many at
+    once.  Texts with the name of a special token are encoded as a whole.
     """
 
     def __init__(self, path: str, cache_words: int | None = None):
@@ -67,60 +97,96 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         # the names of special tokens in a text are these tokens, whatever stands beside them
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}  # of a word with a blank in front
-        self.firsts: dict[str, bytes] = {}  # of a word without one, at the start of a line
+        self.cache: dict[bytes, bytes] = {}  # ids of segments
         self.cache_words = cache_words or CACHE_WORDS
         self.line_end = self.whole(["\n"])[0]
+        split = self.tokenizer.pre_tokenizer
+        byte_level = type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model if byte_level else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def words(self, words: list[str], blank: str) -> list[bytes]:
-        """Ids of single words with ``blank`` in front, joined by line ends and encoded at once, as a call for each costs more than its ids."""
-        single = [w for w in words if "\n" not in w]
-        ids = np.frombuffer(self.whole(["\n".join([blank + w for w in single])])[0], dtype="<u4") if single else np.empty(0, dtype="<u4")
-        ends = np.flatnonzero(ids == np.frombuffer(self.line_end, dtype="<u4")[0]).tolist()
-        if len(ends) != max(len(single) - 1, 0):
-            return self.whole([blank + w for w in words])
-        data = ids.tobytes()
-        cut = [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
-        if len(single) == len(words):
-            return cut
-        found = dict(zip(single, cut))
-        rest = [w for w in words if "\n" in w]
-        found.update(zip(rest, self.whole([blank + w for w in rest])))
-        return [found[w] for w in words]
-
-    def by_words(self, text: str) -> bool:
-        if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
-            return False
-        return not _OTHER_SPACE.search(text) and not any(s in text for s in self.special)
-
-    @staticmethod
-    def lines(text: str) -> list[str]:
-        """The lines, where each line end stands alone between two characters that are no white space."""
-        return [text] if text[0] == "\n" or text[-1] == "\n" or "\n\n" in text else text.split("\n")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for cache, most in ((self.cache, self.cache_words), (self.firsts, self.cache_words // 4)):
-            for word in list(islice(cache, len(cache) // 2)) if len(cache) > most else ():
-                del cache[word]  # the older half
-        split = {i: [line.split(" ") for line in self.lines(t)] for i, t in enumerate(texts) if self.by_words(t)}
-        rest = [i for i in range(len(texts)) if i not in split]
-        lines = [ws for text in split.values() for ws in text]
-        for cache, wanted, blank in ((self.cache, {w for ws in lines for w in ws[1:]}, " "), (self.firsts, {ws[0] for ws in lines}, "")):
-            new = list(wanted.difference(cache))
-            for at in range(0, len(new), JOINED_WORDS):
-                part = new[at : at + JOINED_WORDS]
-                cache.update(zip(part, self.words(part, blank)))
-        out = [b""] * len(texts)
-        for i, text in split.items():
-            out[i] = self.line_end.join([self.firsts[ws[0]] + b"".join([self.cache[w] for w in ws[1:]]) for ws in text])
-        if rest:
-            for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
-                out[i] = ids
-        return out
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space but a blank in front, joined by line ends and encoded at once, as a call for each costs more than its ids."""
+        ids = np.frombuffer(self.whole(["\n".join(words)])[0], dtype="<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(self.line_end, dtype="<u4")[0])
+        if len(ends) != len(words) - 1:
+            return self.whole(words)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]
+
+    def learn(self, segments: list[bytes]) -> None:
+        """Puts segments and their ids into the cache."""
+        others: dict[str, list[tuple[bytes, str]]] = {" ": [], "\n": [], "": [], "odd": []}
+        cache, tokenize = self.cache, self.model.tokenize if self.model else None
+        for s in segments:
+            if tokenize and s[:1] == b" " and s[1:].isalpha():  # ASCII letters
+                cache[s] = array("I", [t.id for t in tokenize("\u0120" + s[1:].decode())]).tobytes()
+                continue
+            text = s.decode()
+            blank = text[0] if text[0] in " \n" else ""
+            word = text[len(blank) :]
+            if tokenize and blank != "\n" and _LETTERS.fullmatch(word):
+                cache[s] = array("I", [t.id for t in tokenize(s.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                continue
+            plain = word.split() == [word]
+            others[blank if plain else "odd"].append((s, text if not plain or blank == " " else word))
+        for kind, found in others.items():
+            front = self.line_end if kind == "\n" else b""
+            for at in range(0, len(found), JOINED_WORDS):
+                part, texts = zip(*found[at : at + JOINED_WORDS])
+                ids = self.whole(list(texts)) if kind == "odd" else self.joined(list(texts))
+                cache.update(zip(part, [front + x for x in ids] if front else ids))
+
+    def ids_of(self, segments: list[bytes]) -> list[bytes]:
+        cache = self.cache
+        if len(cache) > self.cache_words:
+            for s in list(islice(cache, len(cache) // 2)):
+                del cache[s]  # the older half
+        self.learn([s for s in segments if s not in cache])
+        return list(map(cache.__getitem__, segments))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text, as bytes; a null counts as empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = texts.fill_null("").cast(pa.large_string())
+        special = np.zeros(len(texts), dtype=bool)
+        for name in self.special:
+            special |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        if special.any():
+            out = np.empty(len(texts), dtype=object)
+            out[special] = self.whole(texts.filter(pa.array(special)).to_pylist())
+            if not special.all():
+                out[~special] = self.encode(texts.filter(pa.array(~special)))
+            return out.tolist()
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if offsets else np.zeros(1, dtype=np.int64)
+        if ends[-1] == ends[0]:
+            return [b""] * len(texts)
+        data = data.slice(int(ends[0]), int(ends[-1] - ends[0]))
+        ends = ends - ends[0]
+        starts = segment_starts(np.frombuffer(data, dtype=np.uint8), ends)
+        first = np.searchsorted(starts, ends)  # segment of each text
+        starts = np.append(starts, len(data))
+        parts, before = [], [np.zeros(1, dtype=np.int64)]
+        for at in range(0, len(starts) - 1, BLOCK):
+            own = starts[at : at + BLOCK + 1]
+            segments = pa.Array.from_buffers(pa.large_binary(), len(own) - 1, [None, pa.py_buffer(own), data]).dictionary_encode()
+            which = segments.indices.to_numpy()
+            ids = self.ids_of(segments.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), dtype="<u4")
+            many = sizes[which]
+            upto = np.cumsum(many)
+            place = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - many), many)
+            place += np.arange(upto[-1])
+            parts.append(flat[place])
+            before.append(upto + before[-1][-1])
+        found, cut = np.concatenate(parts), np.concatenate(before)[first].tolist()
+        return [found[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
 
 def worker_tokenizer(path: str, cache_words: int | None = None) -> WordTokenizer:
@@ -139,16 +205,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, window: int, end_id: int, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(tokenizer_path, cache_words)
         for b in batches:
-            ids, out = b.column("d").to_pylist(), [[], [], [], [], []]
-            texts = [t or "" for t in b.column("t").to_pylist()]
-            for at in range(0, len(texts), 200):
-                for k, data in enumerate(tok.encode(texts[at : at + 200])):
+            ids, texts, out = b.column("d").to_pylist(), b.column("t"), [[], [], [], [], []]
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PORTION, "right")))
+                for k, data in enumerate(tok.encode(texts.slice(at, to - at)), at):
                     data += end
                     total = len(data) // 4
                     for start in range(0, total, window):
                         part = data[4 * start : 4 * (start + window)]
-                        for col, v in zip(out, (ids[at + k], start, len(part) // 4, zlib.crc32(part), total)):
+                        for col, v in zip(out, (ids[k], start, len(part) // 4, zlib.crc32(part), total)):
                             col.append(v)
+                at = to
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["d", "start", "length", "crc", "total"])
             if cache_words:  # memory is short
                 give_back()

@@ -830,3 +830,28 @@ def test_workers_give_memory_back_when_a_task_ends(monkeypatch):
     next(rows)
     rows.close()  # a limit ends a task early
     assert done == [1, 1]
+
+
+def test_texts_are_cut_only_where_the_tokenizer_cuts(monkeypatch):
+    from chronoloom.llm import packing, queries
+
+    tok = packing.WordTokenizer(queries.tokenizer_path())
+    rng = random.Random(7)
+    bits = ["a", "Wörter", "é", "日本", "é", "7", "²", "'s", "'", "don't", "$$$", ",'", "_x", ".", "…", "»", "\x7f", "\x00", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x85"]
+    bits += [" ", " ", " ", "​", " ", " ", " ", "　", "﻿", "\x1c"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [""]
+    want = tok.whole(texts)
+    assert tok.encode(texts) == want
+    monkeypatch.setattr(packing, "BLOCK", 7)  # texts go over several blocks
+    assert packing.WordTokenizer(queries.tokenizer_path(), 50).encode(texts[-1000:]) == want[-1000:]
+
+
+def test_punctuation_makes_no_word_new():
+    from chronoloom.llm import packing, queries
+
+    tok = packing.WordTokenizer(queries.tokenizer_path())
+    tok.encode(["x alpha beta Größe ."])
+    known = len(tok.cache)
+    assert tok.encode(["x alpha. beta, alpha$$$"]) == tok.whole(["x alpha. beta, alpha$$$"])
+    # the marks are new, no word is
+    assert set(list(tok.cache)[known:]) == {b".", b",", b"$$$"}
