@@ -855,3 +855,13 @@ def test_punctuation_makes_no_word_new():
     assert tok.encode(["x alpha. beta, alpha$$$"]) == tok.whole(["x alpha. beta, alpha$$$"])
     # the marks are new, no word is
     assert set(list(tok.cache)[known:]) == {b".", b",", b"$$$"}
+
+
+def test_heaps_are_collected_in_tasks(spark):
+    from chronoloom.llm import shared
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Copy" not in b.getName())
+    before = full()
+    shared.heaps_give_back(spark)
+    assert full() > before

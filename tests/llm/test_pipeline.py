@@ -29,3 +29,18 @@ def test_stages(spark):
 def test_run_agrees_with_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() == corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_each_stage_begins_by_giving_memory_back(spark, monkeypatch):
+    import pytest
+
+    class Given(Exception):
+        pass
+
+    def given(_):
+        raise Given
+
+    monkeypatch.setattr(corpus_pipeline, "heaps_give_back", given)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Given):
+            stage(spark, None, SF)
